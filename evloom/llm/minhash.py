@@ -9,8 +9,9 @@ each other; links are confirmed on the full sets, and components joined by union
 
 At a likeness of 0.85, 24 bands of 5 miss a pair with a probability under 1e-6.
 
-Null or empty text: the empty set, linked with nothing. Null doc_id: kept as a document after all others; its
-component_id is null if it reaches no other. Rows of one doc_id are one node, so their links count together.
+Null or empty text: the empty set, linked with nothing. Null doc_id: each different text is a document after all
+others (doc_ids below 2**62); its component_id is null if it reaches no doc_id. Rows of one doc_id are one node, so
+their links count together.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHINGLE, BANDS, ROWS = 5, 24, 5
 SLOTS = BANDS * ROWS
 #: Equal slots that a pair needs before its sets are compared: six standard deviations below the mean at 0.85.
 LEAST_EQUAL = 78
-NONE = 2**63 - 1
+UNNUMBERED = 2**62
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +155,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; linked at intersection >= percent / 100 of the union."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("did"), F.xxhash64("text").alias("th"), "text")
+    out = components_of(docs, percent)
+    shown = lambda c: F.when(F.col(c) < UNNUMBERED, F.col(c)).alias
+    return out.select(shown("did")("doc_id"), "n_shingles", shown("component")("component_id"), (F.col("component") == F.col("did")).alias("kept"))
+
+
+def node_keys() -> list:
+    """did, the node of a row, and th, the hash of its text."""
+    th = F.xxhash64("text")
+    return [F.coalesce(F.col("doc_id").cast("long"), th.bitwiseAND(F.lit(UNNUMBERED - 1)) + F.lit(UNNUMBERED)).alias("did"), th.alias("th")]
+
+
+def first_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns, of the first document of each component; one row where a document repeats."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), *node_keys())
+    chosen = components_of(docs, percent).filter("did = component").groupBy("did").agg(F.min("th").alias("th"))
+    row = row.join(chosen.hint("shuffle_hash"), ["did", "th"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("did", "th").orderBy("th"))
+    return row.withColumn("nth", nth).filter("nth = 1").select("row.*")
+
+
+def components_of(docs: DataFrame, percent: int) -> DataFrame:
+    """did, th (``node_keys``), n_shingles and component of every row."""
+    docs = docs.select(*node_keys(), "text")
     every = keep(docs.mapInArrow(_features, "did long, th long, n long, cls long, cls2 long, sig binary"), "signatures")
     classes = keep(every.filter("n > 0").groupBy("cls", "cls2").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     band = Window.partitionBy("band")
@@ -179,7 +202,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = links.unionByName(_confirmed(rest, sets, percent))
     roots = components(links)
     named = classes.select("cls", "cls2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "cls2", F.coalesce("root", "rep").alias("component"))
-    out = every.select("did", "n", "cls", "cls2").join(named, ["cls", "cls2"], "left")
-    lone = F.when(F.col("n") == 0, F.col("did")).otherwise(F.col("component"))
-    shown = lambda c: F.when(c != NONE, c)
-    return out.select(shown(F.col("did")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(lone).alias("component_id"), (lone == F.col("did")).alias("kept"))
+    out = every.select("did", "th", "n", "cls", "cls2").join(named, ["cls", "cls2"], "left")
+    return out.select("did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("did")).otherwise(F.col("component")).alias("component"))

@@ -101,13 +101,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
     return train(rows)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` (which has text) and score, which replaces a column of that name."""
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` (which has text) and the score, which replaces a column of its name."""
+    kept = [c for c in docs.columns if c != into]
+    schema = docs.select(*kept).withColumn(into, F.lit(0.0)).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.pieces(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column("text")))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column("text")))], names=[*kept, into])
 
     return docs.select(*kept).mapInArrow(add, schema)

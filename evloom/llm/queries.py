@@ -36,10 +36,28 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup_windows
 
-    return dedup_windows(table(spark, sf_dir, "documents"), 13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup_windows(table(spark, sf_dir, "documents"), 13).select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept_sha256")
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +73,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_minhash_near_dedup, op5_substring_dedup, op8_language_id, op9_packing)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "text")
+    return lm.score(docs, lm.learn(docs.filter("not held_out")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_license_scan, op5_substring_dedup, op6_document_fingerprints, op7_benchmark_decontamination, op8_language_id, op9_packing, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}

@@ -109,13 +109,20 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
 
 
 def dedup_windows(docs: DataFrame, width: int = 13) -> DataFrame:
-    """Per document: doc_id, text (kept words joined by one space; unchanged where no word goes), n_words, n_removed,
-    kept_sha256 (of the kept words joined by one space) and spans, the removed word ranges."""
-    docs = S.keyed(docs)
+    """All columns of ``docs``, text with the kept words joined by one space (unchanged where no word goes), and
+    ``dedup``, which replaces a column of its name: n_words, n_removed, kept_sha256 (of the kept words joined by one
+    space) and spans, the removed word ranges."""
+    keyed = S.keyed(docs)
+    order = [c for c in docs.columns if c != "dedup"]
+    rest = F.struct(*(c for c in order if c != "text")).alias("row")
+    whole = docs.select(rest, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64("text").alias("th"), "text")
+    kind = "struct<n_words:bigint,n_removed:bigint,kept_sha256:string,spans:array<struct<s:int,e:int>>>"
+    schema = whole.select("row", "text", F.lit(None).cast(kind).alias("dedup")).schema
+    detail = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.pieces(batches):
-            rows = []
+            texts, details = [], []
             data, off = A.texts(batch.column("text"))
             for i, marks in enumerate(batch.column("marks")):
                 body, spans = data[off[i] : off[i + 1]].tobytes(), S.merged(marks)
@@ -126,9 +133,10 @@ def dedup_windows(docs: DataFrame, width: int = 13) -> DataFrame:
                     at = e
                 kept += words[at:]
                 left = b" ".join(kept)
-                rows.append(((left if spans else body).decode(), len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), [{"s": s, "e": e} for s, e in spans]))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "spans"])
+                texts.append((left if spans else body).decode() if batch.column("text")[i].is_valid else None)
+                details.append({"n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(left).hexdigest(), "spans": [{"s": s, "e": e} for s, e in spans]})
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(details, detail)], names=["row", "text", "dedup"])
 
-    marked = S.with_marks(docs, repeated_spans(docs, width).select("did", "th", "s", "e"))
-    return marked.select("doc_id", "text", "marks").mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, spans array<struct<s:int,e:int>>")
+    marked = S.with_marks(whole, repeated_spans(keyed, width).select("did", "th", "s", "e"))
+    out = marked.select("row", "text", "marks").mapInArrow(remove, schema)
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in order), "dedup")
