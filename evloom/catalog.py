@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import estate, graph, history, lookups, workflow  # noqa: F401  each registers its queries
+from .plans.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "impact_score"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -101,7 +101,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 key = A.join_hash(key, sig[:, :, i])
             row = np.repeat(np.arange(batch.num_rows), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("rep", "cls", "n"))], names=["band", "rep", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("rep", "cls", "n")), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))], names=["band", "rep", "cls", "n", "nb"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,26 +112,39 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Of some bands' classes: pairs in different components with enough equal slots, each from its first band only."""
+    """Links between classes of different components that share one of some bands; no more than join them.
+
+    A pair is compared in its first common band only, and only while the two are in different components: likely ones
+    first, on full sets, and every link found merges the components at once."""
     table = table.combine_chunks()
-    band, rep, cls, n, root = (A.longs(table.column(c)) for c in ("band", "rep", "cls", "n", "root"))
+    band, rep, n, root, nb = (A.longs(table.column(c)) for c in ("band", "rep", "n", "root", "nb"))
     sig = _signatures(table.column("sig"))
+    sets = table.column("shingles").combine_chunks()
+    value, off = sets.flatten().to_numpy(), np.append(0, np.cumsum(n))
     order = np.lexsort((n, band))
     out = []
     for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
-        size, high = n[rows], 0
+        size, high, part, sigs = n[rows], 0, root[rows].copy(), sig[rows]
         for i in range(len(rows)):
             high = max(high, int(np.searchsorted(size, size[i] * 100 // percent, "right")))
-            to = rows[i + 1 : high]
-            to = to[root[to] != root[rows[i]]]
+            to = i + 1 + np.flatnonzero(part[i + 1 : high] != part[i])
             if not len(to):
                 continue
-            equal = sig[to] == sig[rows[i]]
-            ok = equal.sum(axis=1) >= LEAST_EQUAL
-            if ok.any():
-                out.append(np.stack([np.full(ok.sum(), rows[i]), to[ok]]))
-    x, y = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.table({"x": rep[x], "xc": cls[x], "y": rep[y], "yc": cls[y]})
+            equal = sigs[to] == sigs[i]
+            count = equal.sum(axis=1)
+            likely = np.flatnonzero(count >= LEAST_EQUAL)
+            likely = likely[equal[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == nb[rows[i]]]
+            mine = value[off[rows[i]] : off[rows[i] + 1]]
+            for j in to[likely[np.argsort(-count[likely], kind="stable")]].tolist():
+                if part[j] == part[i]:
+                    continue
+                other = value[off[rows[j]] : off[rows[j] + 1]]
+                both = int((mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other).sum())
+                if both * 100 >= (len(mine) + len(other) - both) * percent:
+                    out.append((rep[rows[i]], rep[rows[j]]))
+                    part[part == part[j]] = part[i]
+    u, v = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.table({"u": u, "v": v})
 
 
 _PAIR = "x long, xc long, y long, yc long"
@@ -181,7 +194,7 @@ def components_of(docs: DataFrame, percent: int) -> DataFrame:
     every = keep(docs.mapInArrow(_features, "did long, th long, n long, cls long, cls2 long, sig binary"), "signatures")
     classes = keep(every.filter("n > 0").groupBy("cls", "cls2").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     band = Window.partitionBy("band")
-    bands = classes.mapInArrow(_bands, "band long, rep long, cls long, n long")
+    bands = classes.mapInArrow(_bands, "band long, rep long, cls long, n long, nb int")
     bands = bands.withColumn("c", F.count(F.lit(1)).over(band)).filter("c > 1")
     bands = keep(bands.withColumn("first", F.min(F.struct("rep", "cls", "n")).over(band)).drop("c"), "bands")
     pivots = bands.filter(f"(rep, cls) != (first.rep, first.cls) and least(n, first.n) * 100 >= greatest(n, first.n) * {percent}")
@@ -195,11 +208,12 @@ def components_of(docs: DataFrame, percent: int) -> DataFrame:
     links = keep(_confirmed(pairs, sets, percent), "confirmed")
     roots = components(links)
     placed = bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.withColumns({"lo": F.min("root").over(band), "hi": F.max("root").over(band)}).filter("lo != hi").select("band", "rep", "cls", "n", "root")
-    mixed = keep(mixed.join(sig, ["rep", "cls"]), "mixed")
-    groups = max(1, mixed.count() // 20000)
-    rest = mixed.groupBy(F.pmod("band", F.lit(groups)).alias("g")).applyInArrow(lambda t: _across(t, percent), _PAIR).distinct()
-    links = links.unionByName(_confirmed(rest, sets, percent))
+    mixed = placed.withColumns({"lo": F.min("root").over(band), "hi": F.max("root").over(band)}).filter("lo != hi").select("band", "nb", "rep", "cls", "n", "root")
+    mixed = keep(mixed.join(sig, ["rep", "cls"]).join(sets, ["rep", "cls"]), "mixed")
+    size = mixed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    groups = max(1, size["rows"] // 20000, size["n"] // (2 << 20))
+    rest = mixed.groupBy(F.pmod(F.xxhash64("band"), F.lit(groups)).alias("g")).applyInArrow(lambda t: _across(t, percent), "u long, v long")
+    links = links.unionByName(rest)
     roots = components(links)
     named = classes.select("cls", "cls2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "cls2", F.coalesce("root", "rep").alias("component"))
     out = every.select("did", "th", "n", "cls", "cls2").join(named, ["cls", "cls2"], "left")

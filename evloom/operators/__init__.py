@@ -1,0 +1 @@
+"""Operators over DataFrames of events, graphs, versions and workflow records."""

@@ -1,0 +1,41 @@
+"""Tables between the eager steps of an iterative operator, in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder that is set there."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="evloom-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet and reads it again: lineage ends there, and lost executors cost no repeated work."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(remove, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what ``keep`` wrote, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark keeps it."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
+        return

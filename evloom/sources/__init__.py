@@ -1,0 +1 @@
+"""Sources and sinks: commit logs, event files and audit trails."""
