@@ -33,6 +33,8 @@ SLOTS = BANDS * ROWS
 #: Equal slots that a pair needs before its sets are compared: six standard deviations below the mean at 0.85.
 LEAST_EQUAL = 78
 UNNUMBERED = 2**62
+#: Rows of bands, and shingles of theirs, that a task of the last comparison gets, about.
+TASK_ROWS, TASK_SHINGLES = 4096, 1 << 19
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,17 +119,22 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     A pair is compared in its first common band only, and only while the two are in different components: likely ones
     first, on full sets, and every link found merges the components at once."""
     table = table.combine_chunks()
-    band, rep, n, root, nb = (A.longs(table.column(c)) for c in ("band", "rep", "n", "root", "nb"))
+    band, rep, n, root, nb, block, one, two = (A.longs(table.column(c)) for c in ("band", "rep", "n", "root", "nb", "block", "one", "two"))
+    key = A.join_hash(A.join_hash(band.view(A.U), one.view(A.U)), two.view(A.U))
     sig = _signatures(table.column("sig"))
     sets = table.column("shingles").combine_chunks()
     value, off = sets.flatten().to_numpy(), np.append(0, np.cumsum(n))
-    order = np.lexsort((n, band))
+    order = np.lexsort((n, key))
     out = []
-    for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
         size, high, part, sigs = n[rows], 0, root[rows].copy(), sig[rows]
+        across = one[rows[0]] != two[rows[0]]  # then pairs within a block are another task's
         for i in range(len(rows)):
             high = max(high, int(np.searchsorted(size, size[i] * 100 // percent, "right")))
-            to = i + 1 + np.flatnonzero(part[i + 1 : high] != part[i])
+            apart = part[i + 1 : high] != part[i]
+            if across:
+                apart &= block[rows[i + 1 : high]] != block[rows[i]]
+            to = i + 1 + np.flatnonzero(apart)
             if not len(to):
                 continue
             equal = sigs[to] == sigs[i]
@@ -193,10 +200,10 @@ def components_of(docs: DataFrame, percent: int) -> DataFrame:
     docs = docs.select(*node_keys(), "text")
     every = keep(docs.mapInArrow(_features, "did long, th long, n long, cls long, cls2 long, sig binary"), "signatures")
     classes = keep(every.filter("n > 0").groupBy("cls", "cls2").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    band = Window.partitionBy("band")
     bands = classes.mapInArrow(_bands, "band long, rep long, cls long, n long, nb int")
-    bands = bands.withColumn("c", F.count(F.lit(1)).over(band)).filter("c > 1")
-    bands = keep(bands.withColumn("first", F.min(F.struct("rep", "cls", "n")).over(band)).drop("c"), "bands")
+    # Summed on the map side and joined back, so that a band of very many classes is no single task's.
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "cls", "n")).alias("first")).filter("c > 1")
+    bands = keep(bands.join(shared, "band"), "bands")
     pivots = bands.filter(f"(rep, cls) != (first.rep, first.cls) and least(n, first.n) * 100 >= greatest(n, first.n) * {percent}")
     pairs = pivots.select(F.col("rep").alias("x"), F.col("cls").alias("xc"), F.col("first.rep").alias("y"), F.col("first.cls").alias("yc")).distinct()
     sig = classes.select("rep", "cls", "sig")
@@ -208,11 +215,19 @@ def components_of(docs: DataFrame, percent: int) -> DataFrame:
     links = keep(_confirmed(pairs, sets, percent), "confirmed")
     roots = components(links)
     placed = bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.withColumns({"lo": F.min("root").over(band), "hi": F.max("root").over(band)}).filter("lo != hi").select("band", "nb", "rep", "cls", "n", "root")
-    mixed = keep(mixed.join(sig, ["rep", "cls"]).join(sets, ["rep", "cls"]), "mixed")
+    several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("all")).filter("lo != hi").drop("lo", "hi")
+    mixed = keep(placed.join(several, "band").select("band", "nb", "rep", "cls", "n", "root", "c", "all"), "mixed")
     size = mixed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    groups = max(1, size["rows"] // 20000, size["n"] // (2 << 20))
-    rest = mixed.groupBy(F.pmod(F.xxhash64("band"), F.lit(groups)).alias("g")).applyInArrow(lambda t: _across(t, percent), "u long, v long")
+    groups = max(1, size["rows"] // TASK_ROWS, size["n"] // TASK_SHINGLES)
+    # A band that is too much for a task is cut in blocks, and every two of its blocks meet in a task of their own.
+    cut = F.greatest(F.ceil(F.col("c") / TASK_ROWS), F.ceil(F.col("all") / TASK_SHINGLES)).cast("int")
+    mixed = mixed.withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("rep", "cls"), F.col("cut")).cast("int"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    mixed = mixed.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    task = F.when(F.col("cut") == 1, F.pmod(F.xxhash64("band"), F.lit(groups))).otherwise(F.xxhash64("band", "one", "two"))
+    mixed = mixed.select(task.alias("g"), "band", "nb", "rep", "cls", "n", "root", "block", "one", "two")
+    mixed = mixed.join(sig, ["rep", "cls"]).join(sets, ["rep", "cls"])
+    rest = mixed.groupBy("g").applyInArrow(lambda t: _across(t, percent), "u long, v long")
     links = links.unionByName(rest)
     roots = components(links)
     named = classes.select("cls", "cls2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "cls2", F.coalesce("root", "rep").alias("component"))
