@@ -15,6 +15,8 @@ their own result.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased first (other letters that lower() changes stay outside ASCII)."""
-    return F.filter(F.split(F.lower(text), BREAKS), lambda w: w != "")
+    """The words of a text, A-Z lower-cased first (and no other letter)."""
+    return F.filter(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), BREAKS), lambda w: w != "")
 
 
 def phrase_places(w: Column) -> Column:

@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder that is set there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="evloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
