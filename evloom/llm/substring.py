@@ -108,12 +108,12 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     return settled.withColumns({"src": F.lit(None).cast("long"), "src_s": F.lit(None).cast("int")}).unionByName(spans)
 
 
-def dedup_windows(docs: DataFrame, width: int = 13) -> DataFrame:
+def dedup_windows(docs: DataFrame, width: int = 13, into: str = "dedup") -> DataFrame:
     """All columns of ``docs``, text with the kept words joined by one space (unchanged where no word goes), and
-    ``dedup``, which replaces a column of its name: n_words, n_removed, kept_sha256 (of the kept words joined by one
+    ``into``, which replaces a column of its name: n_words, n_removed, kept_sha256 (of the kept words joined by one
     space) and spans, the removed word ranges."""
     keyed = S.keyed(docs)
-    order = [c for c in docs.columns if c != "dedup"]
+    order = [c for c in docs.columns if c != into]
     rest = F.struct(*(c for c in order if c != "text")).alias("row")
     whole = docs.select(rest, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64("text").alias("th"), "text")
     kind = "struct<n_words:bigint,n_removed:bigint,kept_sha256:string,spans:array<struct<s:int,e:int>>>"
@@ -139,4 +139,4 @@ def dedup_windows(docs: DataFrame, width: int = 13) -> DataFrame:
 
     marked = S.with_marks(whole, repeated_spans(keyed, width).select("did", "th", "s", "e"))
     out = marked.select("row", "text", "marks").mapInArrow(remove, schema)
-    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in order), "dedup")
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in order), F.col("dedup").alias(into))
