@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of 13-word windows that an earlier document has; those left without a word go."""
-    out = substring.dedup_windows(docs, 13).filter("dedup.n_removed = 0 or dedup.n_removed < dedup.n_words").drop("dedup")
+    out = substring.dedup_windows(docs, 13, "_dedup").filter("_dedup.n_removed = 0 or _dedup.n_removed < _dedup.n_words").drop("_dedup")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
