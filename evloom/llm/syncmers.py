@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SIZE = 64
 #: Texts of fewer words have each word as an anchor too.
 SHORT = 24
-#: doc_ids in a block; one task orders a block, and block ends are matched by a join.
+#: doc_ids in a block, which one task orders.
 BLOCK = 1024
 
 
@@ -48,26 +48,26 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sketch and ``next``, the same of the document of the next larger doc_id (null after the last)."""
+    """doc_id, text, sketch and ``next``, the same of the document that follows; the first one follows the last.
+
+    Texts are shuffled once, to blocks of neighbouring doc_ids. A block's first text is a guest at the end of the block
+    before it, so that all next documents are found inside blocks."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("sketch", sketch(F.col("text")))
-    lost = docs.filter("doc_id is null").withColumn("next", F.lit(None).cast("struct<text:string,sketch:array<bigint>>"))
-    placed = docs.filter("doc_id is not null").withColumn("block", F.floor(F.col("doc_id") / BLOCK))
-    in_order = Window.partitionBy("block").orderBy("doc_id", "text")
-    row = F.struct("text", "sketch")
-    placed = placed.select("doc_id", "block", "text", "sketch", F.lead(row).over(in_order).alias("follows"))
-    # The first text of each block stands for it; which block comes next is found over blocks of blocks.
-    source = docs.filter("doc_id is not null").select("doc_id", "text", F.floor(F.col("doc_id") / BLOCK).alias("block"))
-    heads = source.groupBy("block").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
+    placed = docs.filter("doc_id is not null").withColumns({"block": F.floor(F.col("doc_id") / BLOCK), "guest": F.lit(0)})
+    heads = placed.groupBy("block").agg(F.min(F.struct("doc_id", "text")).alias("head"))
+    # Which block comes before is found over blocks of blocks; the last comes before the first.
     blocks = heads.select("block", F.floor(F.col("block") / BLOCK).alias("above"))
-    inside = blocks.select("block", "above", F.lead("block").over(Window.partitionBy("above").orderBy("block")).alias("after"))
-    above = blocks.groupBy("above").agg(F.min("block").alias("least"))
-    above = above.select("above", F.lead("least").over(Window.orderBy("above")).alias("past"))
-    order = inside.join(above, "above").select("block", F.coalesce("after", "past").alias("after"))
-    first = heads.select(F.col("block").alias("after"), F.struct("text", sketch(F.col("text")).alias("sketch")).alias("head"))
-    ends = order.join(first, "after").select("block", "head")
-    placed = placed.join(ends, F.when(F.col("follows").isNull(), placed["block"]) == ends["block"], "left")
-    return placed.select("doc_id", "text", "sketch", F.coalesce("follows", "head").alias("next")).unionByName(lost.select("doc_id", "text", "sketch", "next"))
+    inside = blocks.select("block", "above", F.lag("block").over(Window.partitionBy("above").orderBy("block")).alias("before"))
+    above = blocks.groupBy("above").agg(F.max("block").alias("most"))
+    above = above.select("above", F.coalesce(F.lag("most").over(Window.orderBy("above")), F.max("most").over(Window.partitionBy())).alias("past"))
+    order = inside.join(above, "above").select("block", F.coalesce("before", "past").alias("before"))
+    guests = heads.join(order, "block").select("head.doc_id", "head.text", F.col("before").alias("block"), F.lit(1).alias("guest"))
+    rows = placed.unionByName(guests).repartition("block").withColumn("sketch", sketch(F.col("text")))
+    in_order = Window.partitionBy("block").orderBy("guest", "doc_id", "text")
+    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(in_order)).filter("guest = 0")
+    blank = F.struct(F.lit("").alias("text"), F.array().cast("array<bigint>").alias("sketch"))
+    lost = docs.filter("doc_id is null").select("doc_id", "text", sketch(F.col("text")).alias("sketch"), blank.alias("next"))
+    return rows.select("doc_id", "text", "sketch", "next").unionByName(lost)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -75,18 +75,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) characters replaced by the first as many (or all) of the next
     document, the first document following the last."""
-    clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
-    first = clean.agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")).select(F.struct("text", sketch(F.col("text")).alias("sketch")).alias("wrap"))
-    rows = _wrapped(with_next(docs), first)
+    rows = with_next(docs)
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("substring(next.text, 1, cast(floor(char_length(text) / 2) as int))"))
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("next.sketch").alias("next_sketch"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
     return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
-
-
-def _wrapped(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """The last document's next is the first one; a row of null doc_id has the empty text. One row is joined in by key."""
-    blank = F.struct(F.lit("").alias("text"), F.array().cast("array<bigint>").alias("sketch"))
-    rows = rows.withColumn("last", F.col("next").isNull() & F.col("doc_id").isNotNull())
-    first = first.withColumn("last", F.lit(True))
-    return rows.join(F.broadcast(first), "last", "left").withColumn("next", F.coalesce("next", "wrap", blank))
