@@ -53,7 +53,7 @@ def longs(column: pa.Array) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False), np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches, cut between rows so that each holds about ``size`` bytes of text (a longer text stays whole)."""
     for batch in batches:
         if not batch.num_rows:
