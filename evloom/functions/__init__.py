@@ -13,6 +13,10 @@ HIGH, MEDIUM, LOW = 0.80, 0.50, 0.20
 READ_ONLY = ["Describe", "List", "Get", "Lookup", "Head", "Check", "Batch", "Search"]
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def level_for_score(score: Column) -> Column:
     return F.when(score >= HIGH, "High").when(score >= MEDIUM, "Medium").when(score >= LOW, "Low").otherwise("Unknown")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import freshness
+from ..functions import freshness, row_count
 from ..operators import detectors as D
 from ..operators import reports as R
 from ..operators import rules
@@ -14,19 +14,18 @@ from .graph import LOST, impact_score
 from .lookups import ACTION_STATUS, CLAIM_STATUS, SUBSCRIPTIONS, actions, claims, subscription_matches
 from .registry import query
 
-N = F.count(F.lit(1))
 
 
 @query("SELECT 'nodes' AS what, count(*) FILTER (WHERE alive) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'events', count(*) FROM log")
 def stats(m):
     parts = [(m.nodes.filter("alive"), "nodes"), (m.edges, "edges"), (m.log, "events")]
-    out = [df.agg(N.alias("n")).select(F.lit(name).alias("what"), "n") for df, name in parts]
+    out = [df.agg(row_count().alias("n")).select(F.lit(name).alias("what"), "n") for df, name in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT type, count(*) AS n FROM nodes WHERE alive GROUP BY type")
 def count_by_type(m):
-    return m.nodes.filter("alive").groupBy("type").agg(N.alias("n"))
+    return m.nodes.filter("alive").groupBy("type").agg(row_count().alias("n"))
 
 
 TIER = "CASE WHEN protection_status = 'unprotected' AND criticality >= 7 THEN 'critical' WHEN (protection_status = 'unprotected' AND criticality >= 4) OR (protection_status = 'partial' AND criticality >= 7) THEN 'high' WHEN protection_status = 'protected' THEN 'low' ELSE 'medium' END"
@@ -45,7 +44,7 @@ def protection_summary(m):
 
 @query(f"SELECT {TIER} AS tier, count(*) AS n FROM resources GROUP BY 1")
 def risk_tiers(m):
-    return R.protection(m.resources, m.backups).groupBy("tier").agg(N.alias("n"))
+    return R.protection(m.resources, m.backups).groupBy("tier").agg(row_count().alias("n"))
 
 
 RULES = [("protect", [], "ProtectionRequired", 0.0, "high"), ("backup", ["database"], "BackupRequired", 0.0, "critical"), ("verify", ["database", "server"], "VerificationRequired", 0.0, "medium"), ("often", [], "MinBackupFrequency", 24.0, "medium"), ("keep", ["bucket"], "MinRetention", 30.0, "low"), ("encrypt", [], "EncryptionRequired", 0.0, "critical"), ("trust", [], "MinTrustScore", 0.4, "high")]
@@ -68,13 +67,13 @@ def compliance_gaps(m):
 
 @query(f"{GAPS} --- SELECT requirement, severity, count(*) AS n, count(DISTINCT id) AS resources FROM gaps GROUP BY requirement, severity")
 def compliance_summary(m):
-    return gaps(m).groupBy("requirement", "severity").agg(N.alias("n"), F.countDistinct("id").alias("resources"))
+    return gaps(m).groupBy("requirement", "severity").agg(row_count().alias("n"), F.countDistinct("id").alias("resources"))
 
 
 @query(f"{GAPS} --- SELECT round(1 - (SELECT count(DISTINCT id) FROM gaps) / CAST((SELECT count(*) FROM resources) AS DOUBLE), 6) AS ratio")
 def compliance_ratio(m):
     bad = gaps(m).agg(F.countDistinct("id").alias("bad"))
-    return m.resources.agg(N.alias("n")).join(bad).select(F.round(1 - F.col("bad") / F.col("n"), 6).alias("ratio"))
+    return m.resources.agg(row_count().alias("n")).join(bad).select(F.round(1 - F.col("bad") / F.col("n"), 6).alias("ratio"))
 
 
 W = "CAST(greatest(coalesce(criticality, 1), 1) AS DOUBLE)"
@@ -235,7 +234,7 @@ def judged(m):
 @query(f"{FIRES} --- SELECT subscription, count(*) AS fires, count(*) FILTER (WHERE verdict = 'tp') AS tp, count(*) FILTER (WHERE verdict = 'fp') AS fp, count(*) FILTER (WHERE verdict = 'accepted') AS accepted, count(*) FILTER (WHERE verdict = 'pending') AS pending, round(count(*) FILTER (WHERE verdict = 'tp') / CAST(nullif(count(*) FILTER (WHERE verdict IN ('tp', 'fp')), 0) AS DOUBLE), 6) AS precision FROM judged GROUP BY subscription")
 def subscription_metrics(m):
     of = lambda v: F.count_if(F.col("verdict") == v)
-    return judged(m).groupBy("subscription").agg(N.alias("fires"), of("tp").alias("tp"), of("fp").alias("fp"), of("accepted").alias("accepted"), of("pending").alias("pending"), F.round(F.try_divide(of("tp").cast("double"), of("tp") + of("fp")), 6).alias("precision"))
+    return judged(m).groupBy("subscription").agg(row_count().alias("fires"), of("tp").alias("tp"), of("fp").alias("fp"), of("accepted").alias("accepted"), of("pending").alias("pending"), F.round(F.try_divide(of("tp").cast("double"), of("tp") + of("fp")), 6).alias("precision"))
 
 
 @query(f"{FIRES} --- SELECT subscription, round(fp / CAST(fp + tp AS DOUBLE), 6) AS fpr FROM (SELECT subscription, count(*) FILTER (WHERE verdict = 'fp') AS fp, count(*) FILTER (WHERE verdict = 'tp') AS tp FROM judged GROUP BY subscription) x WHERE fp + tp > 0")
@@ -249,7 +248,7 @@ def worst_performers(m):
 def mutation_proposals(m):
     """Subscriptions that fire often and mostly wrongly."""
     of = lambda v: F.count_if(F.col("verdict") == v)
-    rows = judged(m).groupBy("subscription").agg(N.alias("n"), of("fp").alias("fp"), of("tp").alias("tp"))
+    rows = judged(m).groupBy("subscription").agg(row_count().alias("n"), of("fp").alias("fp"), of("tp").alias("tp"))
     return rows.filter("n >= 10 and fp + tp > 0 and fp / (fp + tp) >= 0.5").select("subscription")
 
 
@@ -263,14 +262,14 @@ def simulate_filter(m):
 @query(f"{FIRES} --- SELECT l.seq FROM log l WHERE kind IN ('NodeCreated', 'EdgeCreated') AND cascade_id IN (SELECT cascade_id FROM log GROUP BY cascade_id HAVING count(*) > 60) AND seq NOT IN (SELECT seq FROM judged WHERE verdict <> 'pending')")
 def correlate_anomalies(m):
     """Matching events of oversize cascades that no judged fire covers: misses."""
-    big = m.log.groupBy("cascade_id").agg(N.alias("n")).filter("n > 60").select("cascade_id")
+    big = m.log.groupBy("cascade_id").agg(row_count().alias("n")).filter("n > 60").select("cascade_id")
     rows = m.log.filter("kind in ('NodeCreated', 'EdgeCreated')").join(big, "cascade_id", "left_semi").select("seq")
     return rows.join(judged(m).filter("verdict != 'pending'").select("seq"), "seq", "left_anti")
 
 
 @query(f"{GAPS} --- SELECT severity, count(*) AS n, mode(requirement ORDER BY requirement) AS any_top FROM gaps WHERE requirement = 'EncryptionRequired' GROUP BY severity")
 def diagnostics_rollup(m):
-    return gaps(m).filter("requirement = 'EncryptionRequired'").groupBy("severity").agg(N.alias("n"), F.mode("requirement").alias("any_top"))
+    return gaps(m).filter("requirement = 'EncryptionRequired'").groupBy("severity").agg(row_count().alias("n"), F.mode("requirement").alias("any_top"))
 
 
 # --- detectors -----------------------------------------------------------------------------------------------------

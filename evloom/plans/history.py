@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import temporal as T
@@ -12,11 +13,15 @@ from .registry import query
 
 T1, T2 = datetime(2024, 1, 8), datetime(2024, 1, 20)
 A1, A2 = "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-20 00:00:00'"
-AT1, AT2 = F.lit(T1).cast("timestamp_ntz"), F.lit(T2).cast("timestamp_ntz")
+
 FORCE = "v.ts <= {at} AND (v.until_ts IS NULL OR {at} < v.until_ts)"
 ALIVE = "{t}.born_ts <= {at} AND ({t}.died_ts IS NULL OR {at} < {t}.died_ts)"
 
 
+def moment(when: datetime) -> Column:
+    return F.lit(when).cast("timestamp_ntz")
+
+
 @query("SELECT node_id, key, s, d, seq, until_seq FROM versions")
 def record_history(m):
     changes = m.applied.filter("kind in ('NodeCreated', 'NodeUpdated')")
@@ -26,23 +31,23 @@ def record_history(m):
 
 @query(f"SELECT v.node_id, v.key, v.s, v.d FROM versions v JOIN node_life n ON v.node_id = n.node_id WHERE {FORCE.format(at=A1)} AND {ALIVE.format(t='n', at=A1)}")
 def node_state_at(m):
-    return T.state_at(m.versions, m.node_life, AT1).select("node_id", "key", "s", "d")
+    return T.state_at(m.versions, m.node_life, moment(T1)).select("node_id", "key", "s", "d")
 
 
 @query(f"SELECT v.node_id, v.key, max_by(v.d, v.seq) AS d FROM versions v WHERE v.ts <= {A2} AND v.key = 'score' GROUP BY v.node_id, v.key")
 def as_of_property(m):
     """The last version of a property at a time, whether or not the node lives."""
-    return m.versions.filter((F.col("ts") <= AT2) & (F.col("key") == "score")).groupBy("node_id", "key").agg(F.max_by("d", "seq").alias("d"))
+    return m.versions.filter((F.col("ts") <= moment(T2)) & (F.col("key") == "score")).groupBy("node_id", "key").agg(F.max_by("d", "seq").alias("d"))
 
 
 @query(f"SELECT node_id AS id, coalesce({ALIVE.format(t='n', at=A1)}, false) AS alive FROM node_life n")
 def node_alive_at(m):
-    return m.node_life.select(F.col("node_id").alias("id"), F.coalesce(T.alive_at(AT1), F.lit(False)).alias("alive"))
+    return m.node_life.select(F.col("node_id").alias("id"), F.coalesce(T.alive_at(moment(T1)), F.lit(False)).alias("alive"))
 
 
 @query(f"SELECT edge_id AS id, coalesce({ALIVE.format(t='n', at=A2)}, false) AS alive FROM edge_life n")
 def edge_alive_at(m):
-    return m.edge_life.select(F.col("edge_id").alias("id"), F.coalesce(T.alive_at(AT2), F.lit(False)).alias("alive"))
+    return m.edge_life.select(F.col("edge_id").alias("id"), F.coalesce(T.alive_at(moment(T2)), F.lit(False)).alias("alive"))
 
 
 @query("SELECT seq, ts, d FROM versions WHERE node_id = 'user:7' AND key = 'score'")
@@ -69,7 +74,7 @@ def version_count(m):
 
 @query(f"SELECT 'node' AS kind, node_id AS id FROM node_life n WHERE {ALIVE.format(t='n', at=A2)} UNION ALL SELECT 'edge', e.edge_id FROM edge_life e JOIN node_life n ON e.src = n.node_id JOIN node_life o ON e.dst = o.node_id WHERE {ALIVE.format(t='e', at=A2)} AND {ALIVE.format(t='n', at=A2)} AND {ALIVE.format(t='o', at=A2)}")
 def graph_at(m):
-    nodes, edges = T.graph_at(m.node_life, m.edge_life, AT2)
+    nodes, edges = T.graph_at(m.node_life, m.edge_life, moment(T2))
     return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")))
 
 
@@ -85,7 +90,7 @@ DIFF = f"""st AS (SELECT w.nth, v.node_id, v.key, v.s, v.d FROM versions v JOIN
 
 @query(f"{DIFF} --- SELECT kind, id FROM dif WHERE kind IS NOT NULL")
 def temporal_diff(m):
-    return T.diff(m.versions, m.node_life, m.edge_life, AT1, AT2)
+    return T.diff(m.versions, m.node_life, m.edge_life, moment(T1), moment(T2))
 
 
 @query(f"{DIFF} --- SELECT count(*) AS changes, count(*) = 0 AS is_empty FROM dif WHERE kind IS NOT NULL")
@@ -115,7 +120,7 @@ def protection_trend(m):
 @query(f"""{DIFF} --- SELECT coalesce(a.s, b.s) AS status, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT s, count(*) AS n FROM st WHERE nth = 1 AND key = 'status' GROUP BY s) a FULL JOIN (SELECT s, count(*) AS n FROM st WHERE nth = 2 AND key = 'status' GROUP BY s) b ON a.s = b.s""")
 def protection_diff(m):
     """How many nodes more or fewer have each status at the second time."""
-    sides = [T.state_at(m.versions.filter("key = 'status'"), m.node_life, at).groupBy(F.col("s").alias("status")).agg(F.count(F.lit(1)).alias(n)) for at, n in ((AT1, "a"), (AT2, "b"))]
+    sides = [T.state_at(m.versions.filter("key = 'status'"), m.node_life, at).groupBy(F.col("s").alias("status")).agg(F.count(F.lit(1)).alias(n)) for at, n in ((moment(T1), "a"), (moment(T2), "b"))]
     return sides[0].join(sides[1], "status", "full").select("status", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta"))
 
 
@@ -123,7 +128,7 @@ def protection_diff(m):
 def confidence_diff(m):
     from ..functions import grade
 
-    sides = [T.state_at(m.versions.filter("key = 'score'"), m.node_life, at).agg(F.avg("d").alias(n)) for at, n in ((AT1, "a"), (AT2, "b"))]
+    sides = [T.state_at(m.versions.filter("key = 'score'"), m.node_life, at).agg(F.avg("d").alias(n)) for at, n in ((moment(T1), "a"), (moment(T2), "b"))]
     return sides[0].join(sides[1]).select(F.round(F.col("b") - F.col("a"), 6).alias("delta"), grade(F.col("b")).alias("grade"))
 
 
@@ -136,7 +141,7 @@ def blast_radius_diff(m):
 
     start = m.spark.createDataFrame([("user:1", "user:1")], "root string, node string")
     sides = []
-    for at, name in ((AT1, "a"), (AT2, "b")):
+    for at, name in ((moment(T1), "a"), (moment(T2), "b")):
         edges = m.edge_life.filter(T.alive_at(at)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         sides.append(reach(edges, start, 5).select("node", F.lit(True).alias(name)))
     both = sides[0].join(sides[1], "node", "full")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import streaming as S
+from ..functions import row_count
 from ..operators import ledger as L
 from ..operators import trust as T
 from ..sources import commits as C
@@ -15,7 +16,6 @@ from .lookups import ACTION_STATUS, CLAIM_STATUS, actions, claims
 from .registry import query
 from .scratch import keep, shared_dir
 
-N = F.count(F.lit(1))
 
 
 def folder(m, name: str) -> str:
@@ -113,7 +113,7 @@ def recover(m):
 def event_log_compact(m):
     """The log without its first fifth."""
     cut = m.log.agg((F.max("seq") * 0.2).alias("cut"))
-    return m.log.join(F.broadcast(cut)).filter("seq > cut").agg(N.alias("kept"), F.min("seq").alias("first"))
+    return m.log.join(F.broadcast(cut)).filter("seq > cut").agg(row_count().alias("kept"), F.min("seq").alias("first"))
 
 
 @query("SELECT sequence, n_events, (SELECT max(sequence) FROM batches) > 7 AS more FROM batches WHERE sequence > 2 ORDER BY sequence LIMIT 5")
@@ -148,7 +148,7 @@ def promotion_status(m):
 def snapshot_counts(m):
     out = None
     for name in ("log", "evidence", "actions", "identities"):
-        part = m.table(name).agg(N.alias("n")).select(F.lit(name).alias("collection"), "n")
+        part = m.table(name).agg(row_count().alias("n")).select(F.lit(name).alias("collection"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -156,13 +156,13 @@ def snapshot_counts(m):
 @query("SELECT kind, id FROM (SELECT 'cascade' AS kind, CAST(cascade_id AS STRING) AS id FROM log GROUP BY cascade_id HAVING count(*) > 70 UNION ALL SELECT 'lag', peer_id FROM heartbeats GROUP BY peer_id HAVING max(lag) >= 100) x")
 def analyze_batch(m):
     """The union of several rules' findings."""
-    a = m.log.groupBy("cascade_id").agg(N.alias("n")).filter("n > 70").select(F.lit("cascade").alias("kind"), F.col("cascade_id").cast("string").alias("id"))
+    a = m.log.groupBy("cascade_id").agg(row_count().alias("n")).filter("n > 70").select(F.lit("cascade").alias("kind"), F.col("cascade_id").cast("string").alias("id"))
     return a.unionByName(m.heartbeats.groupBy("peer_id").agg(F.max("lag").alias("lag")).filter("lag >= 100").select(F.lit("lag").alias("kind"), F.col("peer_id").alias("id")))
 
 
 @query("SELECT sha256('cascade|' || CAST(cascade_id AS STRING)) AS anomaly_id, cascade_id FROM log GROUP BY cascade_id HAVING count(*) > 60")
 def anomaly_stable_id(m):
-    rows = m.log.groupBy("cascade_id").agg(N.alias("n")).filter("n > 60")
+    rows = m.log.groupBy("cascade_id").agg(row_count().alias("n")).filter("n > 60")
     return rows.select(F.sha2(F.concat_ws("|", F.lit("cascade"), "cascade_id"), 256).alias("anomaly_id"), "cascade_id")
 
 
@@ -342,7 +342,7 @@ def stream_dedup(m):
 def stream_rate_verdicts(m):
     """Running verdicts on daily rates by kind, the mean and variance kept as state."""
     day = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000) * 86_400).cast("long")
-    counts = keep(m.table("events").groupBy("event_type", day.alias("start")).agg(N.alias("n")), "daily")
+    counts = keep(m.table("events").groupBy("event_type", day.alias("start")).agg(row_count().alias("n")), "daily")
     stream = m.spark.readStream.schema(counts.schema).parquet(counts.inputFiles()[0].rsplit("/", 1)[0])
     rows = S.drain(S.rate_verdicts(stream, 86400, "event_type"), folder(m, "verdicts"))
     return rows.select("key", "start", F.round("expected", 6).alias("expected"), F.round("z", 6).alias("z"), "level")
