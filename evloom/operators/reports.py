@@ -82,7 +82,7 @@ def coverage(resources: DataFrame, edges: DataFrame, expectations: DataFrame) ->
     rows = wanted.join(a, "a", "left").join(b, "b", "left").fillna(0, ["n_a", "n_b"])
     per_source = resources.join(F.broadcast(expectations.filter("kind = 'EdgeCoverage'")), F.col("type") == F.col("a"))
     hits = edges.select(F.col("src").alias("id"), F.col("type").alias("edge"), F.col("dst_type").alias("to"))
-    per_source = per_source.join(hits, ["id", "edge"], "left").groupBy("model", "expectation", "id", "minimum").agg(F.count_if((F.col("b") == "") | (F.col("to") == F.col("b"))).alias("n"))
+    per_source = per_source.join(hits, ["id", "edge"], "left").groupBy("model", "expectation", "id", "minimum").agg(F.count_if(F.col("to").isNotNull() & ((F.col("b") == "") | (F.col("to") == F.col("b")))).alias("n"))
     short = per_source.groupBy("model", "expectation").agg(F.count_if(F.col("n") < F.col("minimum")).alias("short"), F.count(F.lit(1)).alias("sources"))
     rows = rows.join(short, ["model", "expectation"], "left")
     ratio = (

@@ -201,8 +201,8 @@ def threat_assess(m):
     return rows.select("root", "affected", "risk", severity.alias("severity"), F.least(F.lit(0.5), 0.1 * (1 + n % 7)).alias("penalty"))
 
 
-@query("""hit AS (SELECT 'database:0' AS node, CAST(0 AS BIGINT) AS depth UNION SELECT d.src, h.depth + 1 FROM hit h JOIN depends d ON d.dst = h.node WHERE h.depth < 20), some AS (SELECT DISTINCT node FROM hit),
-    lev AS (SELECT node, CAST(0 AS BIGINT) AS step FROM some UNION SELECT d.src, l.step + 1 FROM lev l JOIN depends d ON d.dst = l.node JOIN some s ON s.node = d.src)
+@query("""hit AS (SELECT 'database:0' AS node, CAST(0 AS BIGINT) AS depth UNION SELECT d.src, h.depth + 1 FROM hit h JOIN depends d ON d.dst = h.node WHERE h.depth < 20), inside AS (SELECT DISTINCT node FROM hit),
+    lev AS (SELECT node, CAST(0 AS BIGINT) AS step FROM inside UNION SELECT d.src, l.step + 1 FROM lev l JOIN depends d ON d.dst = l.node JOIN inside s ON s.node = d.src)
     --- SELECT node, max(step) AS step, CASE WHEN node IN (SELECT resource FROM backups) THEN 'restore' ELSE 'manual' END AS action FROM lev GROUP BY node""")
 def recovery_steps(m):
     return recovery_plan(m.depends, m.resources, m.backups, "database:0")
