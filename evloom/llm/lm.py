@@ -1,12 +1,13 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Tokens are a text's words, A-Z lower-cased, and one end; the end is also the context of a first word. Tasks send their
-counts of words and word pairs in blobs cut by the hash of the word (of a pair: its first word), reducers add them.
-Pairs seen twice or more are kept. With discount D, p(w) = (c(w) - D) / N, an unknown word D V / N in all, and
-p(w | u) = (c(u, w) - D) / c(u) + l(u) p(w), where l(u) is what the kept pairs of u leave; so log p(w | u) is log p(w)
+The order is two: words and word pairs, so the trie has one level of contexts. Tokens are a text's words, A-Z
+lower-cased, and one end; the end is also the context of a first word. Tasks send their counts of words and word pairs
+in blobs cut by the hash of the word (of a pair: its first word), reducers add them. Every pair is kept. With discount D, p(w) = (c(w) - D) / N, an unknown word D V / N in all, and
+p(w | u) = (c(u, w) - D) / c(u) + l(u) p(w), where l(u) is what the pairs of u leave; so log p(w | u) is log p(w)
 plus a ratio that the context's part of the model knows alone. Words and contexts are cut in shards of bounded size,
 each a trie, broadcast by itself and memory-mapped by the workers. As many shards as stay below ``BUNDLE`` bytes are in
-use at once; a larger model takes several passes over the documents, whose parts of the scores add up.
+use at once; a larger model takes several passes over the documents, whose parts of the scores add up. Each pass is run
+and written, and its shards are let go, before the next one's are fetched, so the driver never holds more than a bundle.
 
 Words are known by 64-bit hashes, in a context's list by 40 of the bits. Null text: no words, one end. Null doc_id:
 the caller's choice of training rows decides; scored all the same. Nothing to learn from: the base score, with N = V =
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,14 +95,14 @@ def _count(reducers: int) -> callable:
 
 
 def _reduce(table: pa.Table) -> pa.Table:
-    """Counts of one reducer's words (u null) and of the pairs that start with them and are kept."""
+    """Counts of one reducer's words (u null) and of the pairs that start with them."""
     get = lambda c, t: [np.frombuffer(x.as_py(), t) for x in table.column(c)]
     w, n = np.concatenate(get("word", A.U)), np.concatenate(get("n", np.int32)).astype(np.int64)
     word, at = np.unique(w, return_inverse=True)
     count = np.bincount(at, n, minlength=len(word)).astype(np.int64)
     us = [np.repeat(u, np.diff(np.append(i, len(x)))) for u, i, x in zip(get("u", A.U), get("at", np.int32), get("w", A.U), strict=True)]
     u, x, m = _pairs(np.concatenate(us), np.concatenate(get("w", A.U)), np.concatenate(get("m", np.int32)))
-    u, x, m = u[m > 1], x[m > 1], m[m > 1].astype(np.int64)
+    m = m.astype(np.int64)
     place = np.searchsorted(word, u)
     c = count[place]
     left = 1 - np.bincount(place, (m - D) / np.maximum(1, c), minlength=len(word))
@@ -130,7 +132,7 @@ def learn(docs: DataFrame) -> tuple[DataFrame, int, int, int]:
     total = table.agg(F.coalesce(F.sum(F.when(F.col("u").isNull(), F.col("n"))), F.lit(0)).alias("n"), F.count_if(F.col("u").isNull()).alias("v"), F.count(F.lit(1)).alias("all")).first()
     shards = max(1, math.ceil(total["all"] / SHARD))
     one = (F.col("c") - D) / F.lit(float(max(1, total["n"])))
-    pairs = pairs.join(words, "w").select("u", "w", "n", "left", F.log10((F.col("p") + F.col("left") * one) / one).alias("ratio"))
+    pairs = pairs.join(words, "w").select("u", "w", F.lit(None).cast("long").alias("n"), "left", F.log10((F.col("p") + F.col("left") * one) / one).alias("ratio"))
     every = pairs.unionByName(table.filter("u is null").select("u", "w", "n", "left", F.lit(None).cast("double").alias("ratio")))
     every = every.withColumn("shard", F.pmod(F.coalesce("u", "w").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(shards)).cast("int"))
     return keep(every.groupBy("shard").applyInArrow(_build, "shard int, trie binary"), "tries"), shards, total["n"], total["v"]
@@ -147,20 +149,23 @@ def score(docs: DataFrame, model: tuple[DataFrame, int, int, int]) -> DataFrame:
         bundles[-1].append(shard)
     names = [c for c in docs.columns if c != "text"]
     if len(bundles) == 1:
-        parts = _pass(docs, names, tries, bundles[0], shards, n, v)
+        parts, _ = _pass(docs, names, tries, bundles[0], shards, n, v)
     else:  # each row's parts from all passes meet under the row's number in a written table
         docs = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "scored")
         parts = None
         for bundle in bundles:
-            some = _pass(docs, [*names, "_row"], tries, bundle, shards, n, v)
+            some, shared = _pass(docs, [*names, "_row"], tries, bundle, shards, n, v)
+            some = keep(some, "part")
+            for trie in shared.values():
+                trie.destroy()
             parts = some if parts is None else parts.unionByName(some)
         sums = [F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
         parts = parts.groupBy("_row").agg(*(F.first(c).alias(c) for c in [*names, "n_tokens"]), *sums)
     return parts.select(*names, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _pass(docs: DataFrame, names: list[str], tries: DataFrame, bundle: list[int], shards: int, n: int, v: int) -> DataFrame:
-    """The parts of the scores that the shards of one bundle know."""
+def _pass(docs: DataFrame, names: list[str], tries: DataFrame, bundle: list[int], shards: int, n: int, v: int) -> tuple[DataFrame, dict[int, Broadcast]]:
+    """The parts of the scores that the shards of one bundle know, and the bundle's broadcast tries."""
     send = docs.sparkSession.sparkContext.broadcast
     shared = {r["shard"]: send(Mapped(bytes(r["trie"]))) for r in tries.filter(F.col("shard").isin(bundle)).toLocalIterator()}
     schema = docs.select(*names).schema
@@ -186,4 +191,4 @@ def _pass(docs: DataFrame, names: list[str], tries: DataFrame, bundle: list[int]
             sums = [np.add.reduceat(x, row[:-1]) for x in (known[at], base[at], own[at] + ratio)]  # no row is empty
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.diff(row)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[*names, "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(*names, "text").mapInArrow(add, schema)
+    return docs.select(*names, "text").mapInArrow(add, schema), shared

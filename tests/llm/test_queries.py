@@ -161,6 +161,38 @@ def test_probabilities_add_up(spark, odd):
         assert (own * 10**ratio).sum() == pytest.approx(1, abs=0.005)
 
 
+def test_pairs_seen_once(spark, monkeypatch):
+    """Scores are those of a model of all pairs, also of those seen once, by one pass or by several."""
+    from evloom.llm import lm
+
+    docs = rows_of(spark, SF)
+    counts, pairs = Counter(), Counter()
+    for d, text in docs:
+        if brute.fold(d, 7) != 2:
+            t = brute.tokens(text)
+            counts.update(t)
+            pairs.update(zip([t[-1], *t], t))
+    n, v, follow = sum(counts.values()), len(counts), Counter(u for u, _ in pairs)
+    assert 1 in pairs.values()
+
+    def p(u, w):
+        own = (counts[w] - lm.D if counts[w] else lm.D * v) / n
+        if not counts[u]:
+            return own
+        return max(0, pairs[u, w] - lm.D) / counts[u] + lm.D * follow[u] / counts[u] * own
+
+    want = {}
+    for d, text in docs:
+        t = brute.tokens(text)
+        want[d] = sum(math.log10(p(u, w)) for u, w in zip([t[-1], *t], t)), len(t)
+    for passes in (1, 2):
+        if passes == 2:
+            monkeypatch.setattr(lm, "SHARD", 1 << 13)
+            monkeypatch.setattr(lm, "BUNDLE", 1 << 17)
+        for d, (score,) in got(spark, SF, "op10_lm_scoring", "score").items():
+            assert score == pytest.approx(want[d][0], abs=2e-4 * want[d][1])
+
+
 def test_quality(spark, sf_dir):
     found = got(spark, sf_dir, "op1_quality_classifier", "held_out", "score", "predicted")
     docs = rows_of(spark, sf_dir)
