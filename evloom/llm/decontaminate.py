@@ -9,7 +9,8 @@ then for the ranges of items that blocks cover. What is left goes through block-
 the threshold. They are verified: an item's question (its first three quarters) and answer (the rest) must overlap
 the passage in shingles of five words.
 
-Items are indexed in shards of bounded size (``items_per_shard``, ``bytes_per_shard``), each broadcast in its turn.
+Items are indexed in shards of bounded size (``items_per_shard``, ``bytes_per_shard``), each broadcast in its turn. Document
+frequencies, number of items, mean and longest length are those of all items (``Corpus``), however many shards there are.
 
 Null or empty texts of documents or items match nothing. Repeated rows count once. A null doc_id is reported as null.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .scratch import keep
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -45,6 +47,17 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(A.grams(h, min(SHINGLE, max(1, len(h))))) if len(h) else h
 
 
+@dataclass
+class Corpus:
+    """What a shard needs to know of all items: the frequencies of its own terms, and three figures."""
+
+    term: np.ndarray  # sorted hashes, all terms of the shard among them
+    df: np.ndarray
+    items: int
+    mean: float
+    longest: int
+
+
 @dataclass
 class Index:
     ids: list[int]
@@ -60,7 +73,8 @@ class Index:
     longest: int
 
     @classmethod
-    def build(cls, ids: list[int], column: pa.Array) -> Index:
+    def build(cls, ids: list[int], column: pa.Array, corpus: Corpus | None = None) -> Index:
+        """Of items that are all there are, or a shard of ``corpus``."""
         h, row = terms(column)
         n = np.diff(row)
         order = np.argsort(n, kind="stable")  # neighbours of like length bound each other well
@@ -69,17 +83,19 @@ class Index:
         vocab, t = np.unique(h, return_inverse=True)
         pair, tf = np.unique(t * max(1, len(n)) + np.repeat(place, n), return_counts=True)
         t, item = pair // max(1, len(n)), pair % max(1, len(n))
-        df = np.bincount(t, minlength=len(vocab))
+        if corpus is None:
+            corpus = Corpus(vocab, np.bincount(t, minlength=len(vocab)), len(n), n.mean() if len(n) else 1.0, int(n.max(initial=1)))
+        df = corpus.df[np.searchsorted(corpus.term, vocab)]
         length = n[order]
-        idf = np.log(1 + (len(n) - df + 0.5) / (df + 0.5))
-        impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, n.mean() if len(n) else 1.0)))
+        idf = np.log(1 + (corpus.items - df + 0.5) / (df + 0.5))
+        impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, corpus.mean)))
         impact /= np.bincount(item, impact, minlength=len(n))[item]
         most = np.zeros(len(vocab))
         np.maximum.at(most, t, impact)
         ranges = np.zeros((len(vocab), -(-len(n) // BLOCK)), np.float32)
         np.maximum.at(ranges, (t, item // BLOCK), impact.astype(np.float32) * np.float32(1 + 1e-6))
         cuts = [(row[i], row[i] + n[i] * 3 // 4, row[i + 1]) for i in order]
-        return cls([ids[i] for i in order], vocab, np.searchsorted(t, np.arange(len(vocab) + 1)), item, impact, most, ranges, [_shingles(h[a:b]) for a, b, _ in cuts], [_shingles(h[b:c]) for _, b, c in cuts], length.tolist(), int(n.max(initial=1)))
+        return cls([ids[i] for i in order], vocab, np.searchsorted(t, np.arange(len(vocab) + 1)), item, impact, most, ranges, [_shingles(h[a:b]) for a, b, _ in cuts], [_shingles(h[b:c]) for _, b, c in cuts], length.tolist(), corpus.longest)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term numbers of hashes, -1 for terms of no item."""
@@ -174,14 +190,35 @@ def leaks(column: pa.Array, index: Index) -> Iterator[tuple[int, int, float, flo
                 yield d, index.ids[item], score, q, a, s - int(row[d])
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each item, and under no term its number of words."""
+    for batch in A.pieces(batches):
+        h, row = terms(batch.column("text"))
+        n = np.diff(row)
+        for i in range(batch.num_rows):
+            t = np.unique(h[row[i] : row[i + 1]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(t, 0), mask=np.append(np.zeros(len(t), bool), True)), pa.array(np.append(np.zeros(len(t), np.int64), n[i])), pa.array(np.full(len(t) + 1, batch.column("shard")[i].as_py(), np.int32))], names=["term", "words", "shard"])
+
+
 def indexes(benchmark: DataFrame, items_per_shard: int = 2000, bytes_per_shard: int = 16 << 20) -> Iterator[Index]:
     """The index of each shard of the items (item_id, text)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).filter("text is not null")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     shards = max(1, math.ceil(size["n"] / items_per_shard), math.ceil(size["b"] / bytes_per_shard))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    if shards > 1:
+        counts = keep(items.dropDuplicates().mapInArrow(_terms, "term long, words long, shard int").groupBy("term", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")), "term_counts")
+        every = counts.filter("term is null").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+        df = keep(counts.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df")), "term_df")
     for shard in range(shards):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).dropDuplicates().orderBy("item_id", "text").toArrow()
-        yield Index.build(part.column("item_id").to_pylist(), part.column("text").combine_chunks())
+        part = items.filter(F.col("shard") == shard).drop("shard").dropDuplicates().orderBy("item_id", "text").toArrow()
+        corpus = None
+        if shards > 1:
+            known = df.join(counts.filter(F.col("shard") == shard).select("term"), "term").toArrow()
+            term, n = A.longs(known.column("term")).view(A.U), A.longs(known.column("df"))
+            order = np.argsort(term)
+            corpus = Corpus(term[order], n[order], every["n"], every["words"] / every["n"], max(1, every["longest"]))
+        yield Index.build(part.column("item_id").to_pylist(), part.column("text").combine_chunks(), corpus)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -241,6 +241,20 @@ def test_leaks_odd(spark, odd):
     assert {d for d, i in found if i == 4} == {d for d, t in text.items() if t and len(t) > 15000}
 
 
+def test_leaks_do_not_depend_on_shards(spark, monkeypatch):
+    """Items in several index shards are found as in one, with the same scores."""
+    from evloom.llm import decontaminate as D
+
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    one = {(r["doc_id"], r["item_id"]): r for r in D.contaminated(docs, items).collect()}
+    cut, seen = D.indexes, []
+    monkeypatch.setattr(D, "indexes", lambda b: (seen.append(x) or x for x in cut(b, items_per_shard=max(1, items.count() // 7))))
+    several = {(r["doc_id"], r["item_id"]): r for r in D.contaminated(docs, items).collect()}
+    assert len(seen) > 5 and one and set(several) == set(one)
+    for k, r in one.items():
+        assert tuple(several[k]) == pytest.approx(tuple(r), rel=1e-9)
+
+
 def test_all_index_hits_come_back(spark):
     """Block-max WAND gives the same items as scoring every item."""
     import pyarrow as pa
