@@ -85,16 +85,19 @@ def source_trust(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 def match_identities(queries: DataFrame, entities: DataFrame, aliases: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, entity_id, score, rank: entities for an alias (query_id, source, namespace, normalized, kind).
 
-    Candidates come from equi-joins on the exact alias and on its tokens, never from all pairs."""
+    Candidates come from equi-joins on the exact alias and on its tokens, never from all pairs. Of the entities that share
+    a token and a kind, only the ``limit`` least ids can be among a query's first ``limit``: each of them scores as much as
+    a later one, or more, and comes before it. So a common token costs no more than a rare one, and nothing is lost."""
     from pyspark.sql import Window
 
     exact = queries.join(aliases, ["source", "namespace", "normalized"]).select("query_id", "entity_id", F.lit(True).alias("exact"), F.lit(False).alias("token"))
     tokens = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.filter(F.split("normalized", "[^a-z0-9]+"), lambda t: F.length(t) > 0))).alias("token"))
-    rare = tokens(aliases, "entity_id").distinct()
-    common = rare.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 100").select("token")
-    shared = tokens(queries, "query_id").join(rare.join(common, "token", "left_anti"), "token").select("query_id", "entity_id", F.lit(False).alias("exact"), F.lit(True).alias("token"))
+    kinds = entities.select(F.col("id").alias("entity_id"), "kind")
+    nth = F.row_number().over(Window.partitionBy("token", "kind").orderBy("entity_id"))
+    least = tokens(aliases, "entity_id").distinct().join(kinds, "entity_id").withColumn("nth", nth).filter(F.col("nth") <= limit)
+    shared = tokens(queries, "query_id").join(least, "token").select("query_id", "entity_id", F.lit(False).alias("exact"), F.lit(True).alias("token"))
     found = exact.unionByName(shared).groupBy("query_id", "entity_id").agg(F.bool_or("exact").alias("exact"), F.bool_or("token").alias("token"))
-    found = found.join(queries.select("query_id", F.col("kind").alias("q_kind")), "query_id").join(entities.select(F.col("id").alias("entity_id"), "kind"), "entity_id")
+    found = found.join(queries.select("query_id", F.col("kind").alias("q_kind")), "query_id").join(kinds, "entity_id")
     found = found.withColumn("factors", factors("match", {"exact_alias": F.col("exact"), "same_kind": F.col("q_kind") == F.col("kind"), "token_overlap": F.col("token") & ~F.col("exact")})).withColumn("score", total(F.col("factors"))).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= limit).select("query_id", "entity_id", "score", "rank")

@@ -27,3 +27,22 @@ def test_runs(spark, name):
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns
+
+
+def test_common_tokens_match(spark):
+    """A token that very many entities share finds the same candidates as comparing each query with each of them."""
+    from evloom.operators import trust
+
+    entities = [(f"e{i:03}", ("firm", "person")[i % 2]) for i in range(300)]
+    aliases = [(e, "erp", "main", f"acme {i}" if i % 3 else "acme") for i, (e, _) in enumerate(entities)]
+    queries = [("q1", "erp", "main", "acme", "person"), ("q2", "crm", "main", "acme works", "firm"), ("q3", "erp", "main", "acme 299", "firm"), ("q4", "erp", "main", "other", "firm")]
+    want = []
+    for q, source, _, text, kind in queries:
+        found = []
+        for (e, k), (_, s, _, t) in zip(entities, aliases):
+            exact = (source, text) == (s, t)
+            if exact or set(text.split()) & set(t.split()):
+                found.append((-round((0.85 if exact else 0.25) + (0.1 if k == kind else 0), 6), e))
+        want += [(q, e, -x, i) for i, (x, e) in enumerate(sorted(found)[:10], 1)]
+    got = trust.match_identities(spark.createDataFrame(queries, "query_id string, source string, namespace string, normalized string, kind string"), spark.createDataFrame(entities, "id string, kind string"), spark.createDataFrame(aliases, "entity_id string, source string, namespace string, normalized string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
