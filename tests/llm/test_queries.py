@@ -84,6 +84,28 @@ def test_licenses(spark, sf_dir):
         assert labels == ",".join(sorted(set(labels.split(",")))) and (score > 0) == bool(labels)
 
 
+def test_wrapped_licenses(spark):
+    """A notice has its label however its lines break, and with comment marks; parts of notices far apart have none."""
+    import textwrap
+
+    from evloom.llm import license_scan
+
+    rows, want = [], {}
+    for label, text in license_scan.TEMPLATES:
+        for width in (12, 40, 72):
+            for mark in ("", "# ", " * "):
+                body = "\n".join(mark + x for x in textwrap.wrap(text, width, break_long_words=False))
+                want[len(rows)] = label
+                rows.append((len(rows), f"some code here\n{body}\n\nand more of it"))
+    apart = ("\n" + "word " * 40 + "\n").join(license_scan.TEMPLATES[8][1].split(", "))
+    rows.append((len(rows), apart))
+    found = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, label in want.items():
+        assert label in found[d]["labels"].split(",") and found[d]["score"] == 1.0
+        assert all(m["block"] >= 0 for m in found[d]["matches"])
+    assert found[len(rows) - 1]["labels"] == ""
+
+
 def test_fingerprints(spark, sf_dir):
     docs = rows_of(spark, sf_dir)
     found = got(spark, sf_dir, "op6_document_fingerprints", "n_chars", "edited_sha256", "fingerprint", "near_edited", "near_next")
