@@ -119,6 +119,31 @@ def test_fingerprints(spark, sf_dir):
         assert 0.3 < np.median([f[3] for f in long]) < 0.75 and np.median([f[4] for f in long]) < 0.1
 
 
+def test_whole_anchor_lists(spark):
+    """One rule for all lengths, every anchor with its place, and likeness by matched places of whole lists."""
+    from pyspark.sql import functions as F
+
+    from evloom.llm import syncmers as S
+
+    rng = np.random.default_rng(11)
+    long = [f"w{i}" for i in rng.permutation(5000)]
+    texts = ["", "one", "one two", " ".join(long[:23]), " ".join(long[:24]), " ".join(long), " ".join(long[1000:1400] + [f"v{i}" for i in range(4600)]), "a b c d " * 30, "a b c d " * 10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("anchors", S.anchors(F.col("text"))).withColumn("places", S.places(F.col("anchors")))
+    rows = df.orderBy("doc_id").collect()
+    hashes = dict(spark.createDataFrame([(w,) for t in texts for w in set(t.split())], "w string").select("w", F.xxhash64("w")).distinct().collect())
+    for r in rows:
+        h = [hashes[w] for w in r["text"].split()]
+        h = [S.MARK] * 2 + h + [S.MARK] * 2 if h else []
+        assert [a["word"] for a in r["anchors"]] == [i - 2 for i in range(len(h) - 2) if min(h[i], h[i + 2]) <= h[i + 1]]
+        assert len(r["places"]) == len(set(r["places"])) == len(r["anchors"])
+    pairs = df.alias("x").crossJoin(df.alias("y")).select(F.col("x.doc_id"), F.col("y.doc_id"), S.likeness(F.col("x.places"), F.col("y.places"))).collect()
+    near = {(a, b): x for a, b, x in pairs}
+    for (a, b), x in near.items():
+        c, d = (Counter(y["hash"] for y in rows[i]["anchors"]) for i in (a, b))
+        assert x == pytest.approx(2 * (c & d).total() / (c + d).total() if c or d else 1)
+    assert near[3, 4] > 0.8 and 0.03 < near[5, 6] < 0.15 and near[1, 1] == 1 and near[0, 1] == 0
+
+
 def test_packing(spark, sf_dir):
     from evloom.llm.packing import encoder
 
