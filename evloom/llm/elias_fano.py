@@ -2,15 +2,14 @@
 
 A monotone sequence keeps its low bits as they are (whole bytes) and its high bits in unary: a one for each value, a
 zero at each step to the next high part. The coded arrays lie flat one after another, so ``Trie.load`` reads them in
-place from a file that it maps or from any buffer; only the places of the zeros are spelled out on loading. ``Mapped``
-bytes are mapped from a file without a name wherever they arrive, so a worker's own memory holds none of the levels.
+place from any buffer, such as anonymous memory (``mapped``) or a file that is mapped; only the places of the zeros are
+spelled out on loading.
 """
 
 from __future__ import annotations
 
 import json
 import mmap
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +35,7 @@ class Monotone:
         top = int(values[-1]) if n else 0
         width = min(7, max(0, -(-max(0, (top // max(1, n)).bit_length()) // 8)))
         low = (values.astype(A.U)[:, None] >> (A.U(8) * np.arange(width, dtype=A.U))[None]).astype(np.uint8)
-        high = (values >> A.U(8 * width)).astype(np.int64)
+        high = (values.astype(A.U) >> A.U(8 * width)).astype(np.int64)
         bits = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
         bits[high + np.arange(n)] = 1
         return {"low": low.ravel(), "high": np.packbits(bits, bitorder="little"), "meta": np.array([n, width, len(bits)], np.int64)}
@@ -54,15 +53,7 @@ class Monotone:
         h = np.where(past, A.U(0), high).astype(np.int64)
         lo, hi = self.start[h], self.start[np.minimum(h + 1, len(self.start) - 1)]
         want = values & A.U((1 << (8 * self.width)) - 1)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-        return np.where(past, self.n, lo)
+        return np.where(past, self.n, bisect(lo, hi, want, self.lows))
 
     def get(self, at: np.ndarray) -> np.ndarray:
         high = np.searchsorted(self.start, at, "right") - 1
@@ -85,68 +76,93 @@ class Monotone:
         return ok
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit codes of the values, and the least value and the step of the codes. Codes round down, so that coded
-    probabilities never add up to more than one."""
-    if not len(x):
-        return np.zeros(0, np.uint16), np.zeros(2)
-    least = float(x.min())
-    step = max((float(x.max()) - least) / 65535, 1e-9)
-    return np.floor((x - least) / step).astype(np.uint16), np.array([least, step])
+def bisect(lo: np.ndarray, hi: np.ndarray, want: np.ndarray, read: callable) -> np.ndarray:
+    """The first place in each [lo, hi) whose value, as ``read`` gives it, is not below the one wanted; or hi."""
+    lo, hi = lo.copy(), hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = read(mid) < want[open_]
+        lo[open_[less]] = mid[less] + 1
+        hi[open_[~less]] = mid[~less]
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
 
 
-class Mapped:
-    """Bytes that are memory-mapped where they are unpickled, from a file that has no name and ends with its mapping."""
+EXACT, STEPS = 1 << 15, 682
 
-    def __init__(self, data: bytes | mmap.mmap) -> None:
-        self.data = data
 
-    def __reduce__(self) -> tuple:
-        return Mapped.of, (bytes(self.data),)
+def encode(count: np.ndarray) -> np.ndarray:
+    """16-bit codes of counts: exact below ``EXACT``, else on a logarithmic scale of ``STEPS`` steps an octave, rounded
+    down (a part in a thousand). 0: none."""
+    large = EXACT + np.floor(np.log2(np.maximum(count, EXACT) / EXACT) * STEPS)
+    return np.where(count < EXACT, count, np.minimum(large, 65535)).astype(np.uint16)
+
+
+def decode(code: np.ndarray) -> np.ndarray:
+    return np.where(code < EXACT, code, EXACT * np.exp2((code.astype(np.float64) - EXACT) / STEPS))
+
+
+def mapped(data: bytes) -> mmap.mmap:
+    """The bytes in anonymous memory of their own, which goes back to the system as soon as nothing uses it."""
+    out = mmap.mmap(-1, max(1, len(data)))
+    out.write(data)
+    return out
+
+
+TAIL = 40  # bits of a word's name that a list keeps
 
-    @staticmethod
-    def of(data: bytes) -> Mapped:
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            return Mapped(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+def tail(name: np.ndarray) -> np.ndarray:
+    """Names that are hashes have their first bit set; they keep it and the next ones."""
+    return np.where(name >> A.U(63), name >> A.U(64 - TAIL), name)
 
-TAIL = 40  # bits of a successor's hash that its context's list keeps
+
+@dataclass
+class Level:
+    """Lists of one-word extensions: each parent's list is sorted, and ``pointers`` say where it starts and ends."""
+
+    high: np.ndarray  # first 32 bits of the tails
+    low: np.ndarray  # the other 8
+    code: np.ndarray
+    pointers: Monotone
+
+    @staticmethod
+    def parts(tails: np.ndarray, code: np.ndarray, pointers: np.ndarray) -> Arrays:
+        more = {f"pointers_{k}": v for k, v in Monotone.code(pointers).items()}
+        return {"high": (tails >> A.U(8)).astype(np.uint32), "low": tails.astype(np.uint8), "code": code, **more}
+
+    def find(self, parent: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tails stand in their parents' lists, and where: a bisection between two pointers."""
+        lo, hi = (self.pointers.get(parent + i).astype(np.int64) for i in (0, 1))
+        at = bisect(lo, hi, tails, lambda i: (self.high[i].astype(A.U) << A.U(8)) | self.low[i])
+        found = at < hi
+        there = at[found]
+        found[found] = ((self.high[there].astype(A.U) << A.U(8)) | self.low[there]) == tails[found]
+        return found, at
 
 
 @dataclass
 class Trie:
-    """Words with counts; contexts with back-off weights and pointers to their successors; successors with ratios."""
+    """Words with their counts; contexts with pointers to the words that follow them; of each such pair, pointers to the
+    words that come before it. Counts of pairs and triples are 16-bit codes."""
 
     words: Monotone
     count: np.ndarray
-    large: np.ndarray  # counts of 255 and more, in the words' order
-    large_at: np.ndarray
     contexts: Monotone
-    backoff: np.ndarray
-    backoff_book: np.ndarray
-    successors: Monotone
-    ratio: np.ndarray
-    ratio_book: np.ndarray
+    pairs: Level
+    triples: Level
 
     @staticmethod
-    def build(word: np.ndarray, count: np.ndarray, context: np.ndarray, backoff: np.ndarray, of: np.ndarray, successor: np.ndarray, ratio: np.ndarray) -> bytes:
-        """``of``: each successor's context hash. Successors are numbered by the place of their context, so that one
-        monotone sequence holds all lists, and a list's pointer is the first value of its context's number."""
-        order = np.argsort(word)
-        word, count = word[order], count[order]
-        order = np.argsort(context)
-        context, backoff = context[order], backoff[order]
-        key = (np.searchsorted(context, of).astype(A.U) << A.U(TAIL)) | (successor >> A.U(64 - TAIL))
-        order = np.argsort(key)
-        key, ratio = key[order], ratio[order]
-        big = np.flatnonzero(count >= 255)
-        b_code, b_book = quantise(backoff)
-        r_code, r_book = quantise(ratio)
-        parts = {"count": np.minimum(count, 255).astype(np.uint8), "large": count[big].astype(np.int64), "large_at": big.astype(np.int64), "backoff": b_code, "backoff_book": b_book, "ratio": r_code, "ratio_book": r_book}
-        for name, seq in (("words", word), ("contexts", context), ("successors", key)):
+    def build(word: np.ndarray, count: np.ndarray, context: np.ndarray, after: np.ndarray, pair_count: np.ndarray, of: np.ndarray, before: np.ndarray, triple_count: np.ndarray) -> bytes:
+        """``word``: sorted hashes. ``context`` (name) and ``after`` (tail): pairs, sorted. ``of`` (number of its pair)
+        and ``before`` (tail): triples, sorted."""
+        contexts, first = np.unique(context, return_index=True)
+        parts = {"count": count.astype(np.int64)}
+        for name, seq in (("words", word), ("contexts", contexts)):
             parts |= {f"{name}_{k}": v for k, v in Monotone.code(seq).items()}
+        for name, level in (("pairs", (after, encode(pair_count), np.append(first, len(context)))), ("triples", (before, encode(triple_count), np.searchsorted(of, np.arange(len(context) + 1))))):
+            parts |= {f"{name}_{k}": v for k, v in Level.parts(*level).items()}
         head, body, at = [], [], 0
         for name, x in parts.items():
             head.append((name, x.dtype.str, at, len(x)))
@@ -157,32 +173,32 @@ class Trie:
         return b"".join((len(table).to_bytes(8, "little"), table, *body))
 
     @classmethod
-    def load(cls, source: bytes | mmap.mmap | str) -> Trie:
-        """From a buffer, or memory-mapped from the file at a path; nothing is copied."""
-        if isinstance(source, str):
-            with open(source, "rb") as f:
-                source = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    def load(cls, source: bytes | mmap.mmap) -> Trie:
+        """From a buffer; nothing is copied."""
         first = 8 + int.from_bytes(source[:8], "little")
         z = {name: np.frombuffer(source, kind, n, first + at) for name, kind, at, n in json.loads(source[8:first])}
-        seq = lambda name: Monotone(z[f"{name}_low"], z[f"{name}_high"], z[f"{name}_meta"])
-        return cls(seq("words"), z["count"], z["large"], z["large_at"], seq("contexts"), z["backoff"], z["backoff_book"], seq("successors"), z["ratio"], z["ratio_book"])
+        seq = lambda name: Monotone(*(z[f"{name}_{k}"] for k in ("low", "high", "meta")))
+        level = lambda name: Level(*(z[f"{name}_{k}"] for k in ("high", "low", "code")), seq(f"{name}_pointers"))
+        return cls(seq("words"), z["count"], seq("contexts"), level("pairs"), level("triples"))
 
     def counts(self, word: np.ndarray) -> np.ndarray:
-        """Training counts, 0 for unknown words."""
+        """Counts of words, 0 for unknown ones."""
         found, at = self.words.has(word)
         out = np.zeros(len(word), np.int64)
-        c = self.count[at[found]].astype(np.int64)
-        big = c == 255
-        c[big] = self.large[np.searchsorted(self.large_at, at[found][big])]
-        out[found] = c
+        out[found] = self.count[at[found]]
         return out
 
-    def ratios(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of p(word | context) / p(word): the successor's, or else the context's back-off weight, or 0."""
-        out = np.zeros(len(word))
+    def pair_codes(self, context: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs' counts, and the pairs' numbers (-1: not in the trie)."""
         known, at = self.contexts.has(context)
-        out[known] = self.backoff_book[0] + self.backoff_book[1] * self.backoff[at[known]]
-        known = np.flatnonzero(known)
-        found, place = self.successors.has((at[known].astype(A.U) << A.U(TAIL)) | (word[known] >> A.U(64 - TAIL)))
-        out[known[found]] = self.ratio_book[0] + self.ratio_book[1] * self.ratio[place[found]]
+        place, known = np.full(len(context), -1), np.flatnonzero(known)
+        found, where = self.pairs.find(at[known], after[known])
+        place[known[found]] = where[found]
+        return np.where(place < 0, 0, self.pairs.code[place] if len(self.pairs.code) else 0).astype(np.uint16), place
+
+    def triple_codes(self, pair: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Codes of the counts of the triples that the words ``before`` make with pairs of these numbers."""
+        out, known = np.zeros(len(pair), np.uint16), np.flatnonzero(pair >= 0)
+        found, where = self.triples.find(pair[known], before[known])
+        out[known[found]] = self.triples.code[where[found]]
         return out

@@ -79,7 +79,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "text")
-    return lm.score(docs, lm.learn(docs.filter("not held_out")))
+    return lm.score(docs, ~F.col("held_out"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_license_scan, op5_substring_dedup, op6_document_fingerprints, op7_benchmark_decontamination, op8_language_id, op9_packing, op10_lm_scoring)}

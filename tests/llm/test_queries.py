@@ -188,56 +188,88 @@ def test_language_model(spark, sf_dir):
         assert better > 0.6 * sum(f[0] for f in found.values())
 
 
-def test_probabilities_add_up(spark, odd):
-    """Over all words that can follow, known and unknown, a context's probabilities add up to one, but for the codes' rounding."""
-    from evloom.llm import arrays as A
-    from evloom.llm import elias_fano, lm
+def model_of_all(docs):
+    """p(w | u, v) by plain counts, from (doc_id, text) rows; u is None for a first word, v the end."""
+    from evloom.llm import lm
 
-    docs = spark.createDataFrame([(" ".join("abcab"[i % 5] for i in range(200)) + " d e f",)] * 3, "text string")
-    tries, shards, n, v = lm.learn(docs)
-    trie = elias_fano.Trie.load(bytes(tries.collect()[0]["trie"]))
-    import pyarrow as pa
+    one, two, three = Counter(), Counter(), Counter()
+    for d, text in docs:
+        t = brute.tokens(text)
+        before = [None, *t]
+        one.update(t)
+        two.update(zip(before, t))
+        three.update((before[i - 1], before[i], t[i]) for i in range(1, len(t)))
+    n, v = sum(one.values()), len(one)
+
+    def p(u, c, w):
+        own = (one[w] - lm.D if one[w] else lm.D * v) / n
+        own = (two[c, w] + lm.PAIR * own) / (one[c] + lm.PAIR)
+        return own if u == "first" else (three[u, c, w] + lm.TRIPLE * own) / (two[u, c] + lm.TRIPLE)
+
+    return p, one
+
+
+def log_score(p, text):
+    t = brute.tokens(text)
+    before = [None, *t]
+    return sum(math.log10(p(before[i - 1] if i else "first", before[i], t[i])) for i in range(len(t)))
 
-    words = np.append(np.unique(A.words(*A.texts(pa.array(["a b c d e f"])))[0]), lm.END)
-    c = trie.counts(words)
-    assert c.sum() == n and len(words) == v and shards == 1
-    own = np.append(c - lm.D, lm.D * v) / n
-    assert own.sum() == pytest.approx(1)
-    for u in words:
-        ratio = trie.ratios(np.full(v + 1, u), np.append(words, 12345).astype(np.uint64))
-        assert (own * 10**ratio).sum() == pytest.approx(1, abs=0.005)
 
+def test_probabilities_add_up():
+    """Over all words that can follow, known and unknown, a context's probabilities add up to one."""
+    p, one = model_of_all([(0, " ".join("abcab"[i % 5] for i in range(200)) + " d e f")] * 3 + [(1, "a f")])
+    for c in one:
+        for u in ["first", "new", *(one if c is not None else ())]:
+            assert sum(p(u, c, w) for w in [*one, "new"]) == pytest.approx(1)
 
-def test_pairs_seen_once(spark, monkeypatch):
-    """Scores are those of a model of all pairs, also of those seen once, by one pass or by several."""
+
+@pytest.mark.parametrize("small", [False, True])
+def test_all_triples_count(spark, sf_dir, small, monkeypatch):
+    """Scores are those of a model of all words, pairs and triples, in one chunk or in many with their triples spread."""
     from evloom.llm import lm
 
-    docs = rows_of(spark, SF)
-    counts, pairs = Counter(), Counter()
-    for d, text in docs:
-        if brute.fold(d, 7) != 2:
-            t = brute.tokens(text)
-            counts.update(t)
-            pairs.update(zip([t[-1], *t], t))
-    n, v, follow = sum(counts.values()), len(counts), Counter(u for u, _ in pairs)
-    assert 1 in pairs.values()
-
-    def p(u, w):
-        own = (counts[w] - lm.D if counts[w] else lm.D * v) / n
-        if not counts[u]:
-            return own
-        return max(0, pairs[u, w] - lm.D) / counts[u] + lm.D * follow[u] / counts[u] * own
-
-    want = {}
+    if small:
+        monkeypatch.setattr(lm, "CHUNK", 1 << 14)
+        monkeypatch.setattr(lm, "HOT", 20)
+        monkeypatch.setattr(lm, "HELD", 1 << 10)
+    docs = rows_of(spark, sf_dir)
+    p, _ = model_of_all([x for x in docs if brute.fold(x[0], 7) != 2])
+    found = got(spark, sf_dir, "op10_lm_scoring", "score")
     for d, text in docs:
-        t = brute.tokens(text)
-        want[d] = sum(math.log10(p(u, w)) for u, w in zip([t[-1], *t], t)), len(t)
-    for passes in (1, 2):
-        if passes == 2:
-            monkeypatch.setattr(lm, "SHARD", 1 << 13)
-            monkeypatch.setattr(lm, "BUNDLE", 1 << 17)
-        for d, (score,) in got(spark, SF, "op10_lm_scoring", "score").items():
-            assert score == pytest.approx(want[d][0], abs=2e-4 * want[d][1])
+        assert found[d][0] == pytest.approx(log_score(p, text), abs=1e-6, rel=1e-9)
+
+
+def test_tries_hold_all_counts(spark, monkeypatch):
+    """Every word, pair and triple is found by its context in one shard's trie, with its count; others are not."""
+    from evloom.llm import arrays as A
+    from evloom.llm import elias_fano, lm
+
+    monkeypatch.setattr(lm, "CHUNK", 1 << 13)
+    monkeypatch.setattr(lm, "COMMON", 0)  # so that all names are hashes
+    docs = rows_of(spark, SF)[:40]
+    rows = lm.learn(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) > 3
+    tries = [elias_fano.Trie.load(bytes(r["trie"])) for r in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for _, text in docs:
+        t = lm.tokens(__import__("pyarrow").array([text]))[0].tolist()
+        before = [int(lm.END), *t]
+        one.update(t)
+        two.update(zip(before, t))
+        three.update((before[i - 1], before[i], t[i]) for i in range(1, len(t)))
+    arrays = lambda keys: [np.array(x, np.uint64) for x in zip(*keys)]
+    words, = arrays([(w,) for w in one])
+    assert sum(t.counts(words) for t in tries).tolist() == list(one.values())
+    name = lambda h: h | lm.TOP
+    v, w = map(name, arrays(two))
+    assert sum(t.pair_codes(v, elias_fano.tail(w))[0].astype(int) for t in tries).tolist() == list(two.values())
+    u, v, w = map(name, arrays(three))
+    found = [t.triple_codes(t.pair_codes(v, elias_fano.tail(w))[1], elias_fano.tail(u)) for t in tries]
+    assert sum(x.astype(int) for x in found).tolist() == list(three.values())
+    other = name(A.mix(u))
+    assert not any(t.triple_codes(t.pair_codes(v, elias_fano.tail(w))[1], elias_fano.tail(other)).any() for t in tries)
+    n = np.array([0, 1, 32767, 32768, 10**6, 10**12])
+    assert elias_fano.decode(elias_fano.encode(n)) == pytest.approx(n, rel=2e-3)
 
 
 def test_quality(spark, sf_dir):
