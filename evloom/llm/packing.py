@@ -5,12 +5,16 @@ by group: as many sequences as the group's tokens need, rests by descending leng
 attention cost (linear plus quadratic in a piece's length) that has room, cut only where none has. A group wastes less
 than one sequence.
 
-Null text: empty, so one end id. Rows that repeat a document are packed each for itself.
+Null text: empty, so one end id, as for an empty text. Rows that repeat a document are packed each for itself, and are
+dealt to groups by their place in the table, so many repeats don't meet in one. A text of any length is one row; its
+full lengths are cut off before anything is shuffled. Ties in length go by doc_id, then in no stated order. An empty
+table gives no pieces. Only doc_id and text are read; other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -24,6 +28,8 @@ from . import arrays as A
 
 END = 0
 GROUP = 8192
+#: Runs of white space of this length go to the tokenizer itself: the other one's pattern steps back over the whole run.
+LONG_RUN = re.compile(r"\s{20000}")
 
 
 class Encoder:
@@ -43,7 +49,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast and not any(s in text for s in self.special):
+        if self.fast and not any(s in text for s in self.special) and not (len(text) >= 20000 and LONG_RUN.search(text)):
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
 
@@ -120,5 +126,5 @@ def pack(docs: DataFrame, size: int = 1024, path: str | None = None) -> DataFram
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
     rows = docs.mapInArrow(tokens, "doc_id long, n long, crcs array<long>, rest binary")
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "rest"), F.lit(groups)))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(groups)))
     return rows.groupBy("g").applyInArrow(lambda k, t: place(k, t), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -171,6 +171,30 @@ def test_packing(spark, sf_dir):
     assert len(by_sequence) == math.ceil(sum(p["length"] for p in pieces) / 1024)
 
 
+def test_packing_long_runs(spark):
+    """Runs of two million spaces, letters, line ends, digits and other marks have the tokenizer's ids and end nothing."""
+    from evloom.llm.packing import encoder, pack
+
+    texts = [" " * 2_000_000 + "x", "a" * 2_000_000, "\n" * 2_000_000, "x" + "\u00a0" * 300_000 + "y", "\u3000" * 300_000, "7!" * 500_000, None, "", "same", "same"]
+    pieces = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1024).collect()
+    for d, text in enumerate(texts):
+        ids = [*encoder().full.encode(text or "", add_special_tokens=False).ids, 0]
+        mine = sorted((p["start"], p["length"], p["ids_crc32"], p["doc_tokens"]) for p in pieces if p["doc_id"] == d)
+        assert [x[3] for x in mine] == [len(ids)] * len(mine) and sum(x[1] for x in mine) == len(ids)
+        for start, length, crc, _ in mine:
+            assert crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+
+
+def test_packing_repeats(spark, monkeypatch):
+    """A row that repeats very often is spread over the groups."""
+    from evloom.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 100)
+    pieces = packing.pack(spark.createDataFrame([(1, "some words of a text")] * 2000, "doc_id long, text string"), 64).collect()
+    assert len({p["sequence_id"] >> 32 for p in pieces}) == 20
+    assert sum(p["length"] for p in pieces) == 2000 * pieces[0]["doc_tokens"]
+
+
 def test_language_model(spark, sf_dir):
     docs = rows_of(spark, sf_dir)
     found = got(spark, sf_dir, "op10_lm_scoring", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
