@@ -4,11 +4,14 @@ A text's features are hashed to ``BUCKETS`` vectors: its words, pairs of neighbo
 end mark. A word that repeats the one before reads as a repeat mark. Their mean goes through a softmax layer; vectors
 and layer are learned together by stochastic gradient descent in numpy, a document a step, with a falling rate.
 
-Learning reads a bounded sample (``max_rows`` labelled documents, taken by a hash of doc_id) of which the tasks send
-bucket counts, at most ``BUCKETS`` a row. Scoring folds vectors and layer to one number a bucket, as both are linear.
+Learning reads a bounded sample (``max_rows`` labelled documents, taken by a hash of doc_id, and ``max_bytes`` of their
+bucket counts) and runs in one task, which sends the driver no more than the model. Scoring folds vectors and layer to
+one number a bucket, as both are linear.
 
 Null or empty text: only the end mark, so a score all the same. Rows with null doc_id are scored, never learned from.
-A doc_id labelled more than once counts by its mean label. No label to learn from: score 0.5.
+A doc_id labelled more than once counts by its mean label (a tie counts as 1); texts that repeat are learned once and
+scored each. No label to learn from: score 0.5. A text of any length is scored whole; no rows give no rows. All columns
+but one named as the score pass through.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .scratch import drop, keep
 
 BUCKETS, DIM = 1 << 16, 8
 
@@ -82,8 +86,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate
     return Model((vectors @ (layer[1] - layer[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
-    """A model from ``labels`` (doc_id, quality) of ``docs``; the caller leaves out what must not be learned."""
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 64 << 20) -> Model:
+    """A model from ``labels`` (doc_id, quality) of ``docs``; the caller leaves out what must not be learned.
+
+    At most ``max_rows`` texts and ``max_bytes`` of counts are learned from, by a hash of the counts, in one task."""
     y = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it may be broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id").select("text", "y")
@@ -96,9 +102,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
             cells = [((key[s:e] % BUCKETS).astype(np.uint16).tobytes(), n[s:e].astype(np.float32).tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary()), batch.column("y")], names=["at", "n", "y"])
 
-    found = sample.mapInArrow(count, "at binary, n binary, y int").orderBy(F.xxhash64("at", "n"), "y").toArrow()
-    rows = [(np.frombuffer(a.as_py(), np.uint16).astype(np.int64), np.frombuffer(n.as_py(), np.float32), y.as_py()) for a, n, y in zip(*(found.column(c) for c in ("at", "n", "y")), strict=True)]
-    return train(rows)
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("y", "ascending")])
+        rows = [(np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(n.as_buffer(), np.float32), y.as_py()) for a, n, y in zip(*(table.column(c) for c in ("at", "n", "y")), strict=True)]
+        model = train(rows)
+        return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": pa.array([model.bias])})
+
+    # A text that repeats counts once, so that the bound holds however often it does.
+    found = keep(sample.mapInArrow(count, "at binary, n binary, y int").withColumn("h", F.xxhash64("at", "n")).dropDuplicates(["h", "y"]), "label_counts")
+    sizes = found.select("h", "y", (F.octet_length("at") + F.octet_length("n")).alias("b")).orderBy("h", "y").limit(max_rows).collect()
+    fits = [r for r, total in zip(sizes, np.cumsum([r["b"] for r in sizes]), strict=True) if total <= max_bytes] or sizes[:1]
+    if not fits:
+        return Model(np.zeros(BUCKETS), 0.0)
+    last = fits[-1]
+    within = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("y") <= last["y"])
+    row = found.filter(within).groupBy(F.lit(0).alias("g")).applyInArrow(fit, "weight binary, bias double").first()
+    drop(found)
+    return Model(np.frombuffer(bytes(row["weight"])), row["bias"])
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:

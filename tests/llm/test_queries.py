@@ -305,6 +305,41 @@ def test_quality(spark, sf_dir):
         assert held == (brute.fold(d, 5) == 0) and 0 <= score <= 1 and predicted == int(score >= 0.3)
 
 
+def test_quality_scorer():
+    """The array form of features and scores against plain loops over words and bytes."""
+    import pyarrow as pa
+
+    from evloom.llm import arrays as A
+    from evloom.llm import quality as K
+
+    texts = ["", None, "a", "same same same other", "Grün and ünder", "x  y\tz\n" * 30, "two words"]
+    model = K.Model(np.random.default_rng(1).normal(size=K.BUCKETS), 0.25)
+    mix = lambda x: int(A.mix(np.array([x % 2**64], np.uint64))[0])
+    pair = lambda x, y: int(A.join_hash(np.array([x], np.uint64), np.array([y], np.uint64))[0])
+    for text, score in zip(texts, model.scores(pa.array(texts))):
+        h, raw = [], (text or "").encode()
+        words = raw.split()
+        for i, w in enumerate(words):
+            own = int(A.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+            h.append(0x3C79AC492BA7B653 if i and words[i - 1] == w else own)
+        seen = h + [pair(a, b) for a, b in zip(h, h[1:])] + [mix(a << 16 | b << 8 | c) for a, b, c in zip(raw, raw[1:], raw[2:])] + [0x1C69B3F74AC4AE35]
+        x = np.mean([model.weight[f >> 48] for f in seen]) + 0.25
+        assert score == pytest.approx(1 / (1 + math.exp(-x)))
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    """A labelled document that repeats very often, or very long texts, don't make the sample grow; learning still works."""
+    from evloom.llm import quality as K
+
+    good, bad = "clear plain words that read well", "buy cheap !!! click click"
+    docs = spark.createDataFrame([(i % 40, f"{(bad, good)[i % 2]} {i % 40}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for bound in (1 << 20, 4000):
+        model = K.learn(docs, labels, max_rows=30, max_bytes=bound)
+        assert model.scores(__import__("pyarrow").array([good]))[0] > model.scores(__import__("pyarrow").array([bad]))[0]
+    assert K.learn(docs, labels.limit(0)).scores(__import__("pyarrow").array([good]))[0] == 0.5
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs = Q.op1_quality_classifier(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
