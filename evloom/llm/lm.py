@@ -39,7 +39,7 @@ END = A.mix(np.array([0x656E64], A.U))[0]
 TOP = A.U(1 << 63)
 D, PAIR, TRIPLE = 0.75, 400.0, 30.0
 #: Bytes of text in a chunk, and for each shard, about. Uses of both words of a pair that isn't spread.
-CHUNK, HOT = 8 << 20, 1 << 21
+CHUNK, HOT = 5 << 20, 1 << 21
 #: Words with names of 16 bits.
 COMMON = (1 << 16) - 1
 #: Tokens that a task of the first count holds before it sends their counts.
@@ -48,7 +48,11 @@ MESSAGE = "shard int, chunk long, body binary"
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and row starts."""
+    """Hashes of all tokens, and row starts. A chunked column is read chunk by chunk, which bounds the memory it takes."""
+    if isinstance(column, pa.ChunkedArray):
+        each = [tokens(c) for c in column.chunks] or [(np.zeros(0, A.U), np.zeros(1, np.int64))]
+        at = np.cumsum([0, *(len(w) for w, _ in each)])
+        return np.concatenate([w for w, _ in each]), np.concatenate([np.zeros(1, np.int64), *(row[1:] + a for (_, row), a in zip(each, at))])
     h, _, row = A.words(*A.texts(column), lower=True)
     return np.insert(h, row[1:], END), row + np.arange(len(row))
 
@@ -95,8 +99,8 @@ def _distinct(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     if less and (value[1:] < value[:-1]).any():
         return np.unique(x, return_inverse=True)
     new = np.append(True, value[1:] != value[:-1])[:n]
-    rank = np.empty(n, np.int64)
-    rank[at] = np.cumsum(new) - 1
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    rank[at] = np.cumsum(new, dtype=rank.dtype) - 1
     return value[new], rank
 
 
@@ -115,11 +119,12 @@ class Grams:
         n = max(1, len(self.word))
         first = np.zeros(len(w), bool)
         first[self.row[:-1]] = True
-        before = np.append(0, self.of[:-1])[: len(w)]
+        before = np.append(0, self.of[:-1])[: len(w)].astype(np.int64)
+        del w
         before[first] = np.searchsorted(self.word, END)
         pair, self.pair_of = _distinct(before * n + self.of, (n * n).bit_length())
         self.later = np.flatnonzero(~first)
-        triple, self.triple_of = _distinct(self.pair_of[self.later] * n + before[self.later - 1], (n * max(1, len(pair))).bit_length())
+        triple, self.triple_of = _distinct(self.pair_of[self.later].astype(np.int64) * n + before[self.later - 1], (n * max(1, len(pair))).bit_length())
         self.v, w = pair // n, pair % n
         of_pair, u = triple // n, triple % n
         h = A.join_hash(self.word[self.v], self.word[w])
@@ -294,7 +299,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(chunk: pa.Table) -> pa.Table:
     """row, text, train of a chunk; its pieces by their content, so that the order is always the same."""
     pieces = sorted(x.as_py() for x in chunk.column("piece"))
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in pieces]).combine_chunks()
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in pieces])
 
 
 def _messages(pieces: DataFrame, shards: int, common: Broadcast) -> DataFrame:
