@@ -74,6 +74,14 @@ DERIVED: dict[str, str] = {
     "backups": """SELECT id AS resource, 'snapshot:' || id AS snapshot FROM resources WHERE protection_status = 'protected' UNION ALL
         SELECT id, 'snapshot2:' || id FROM resources WHERE protection_status = 'protected' AND k % 2 = 0""",
     "verifications": """SELECT 'snapshot:' || id AS snapshot FROM resources WHERE protection_status = 'protected' AND k % 4 = 3""",
+    # --- the estate as a graph of typed resources, and the signals that its handlers answer --------------------------
+    "estate_nodes": """SELECT id, k, CASE WHEN type = 'database' THEN 'managed_database' WHEN type = 'bucket' THEN 'object_store' WHEN k % 2 = 0 THEN 'compute_instance' ELSE 'on_prem_server' END AS type_id, k % 11 <> 0 AS alive,
+        CASE WHEN k % 3 = 0 THEN 'tier_1_critical_data' END AS classification, provider, region, trust_1, trust_2, trust_3, trust_4, trust_5, trust_6, trust_7 FROM resources""",
+    "arm_signals": """SELECT seq, CASE seq % 8 WHEN 0 THEN 'resource_discovered' WHEN 1 THEN 'resource_deleted' WHEN 2 THEN 'dependency_discovered' WHEN 3 THEN 'policy_computed' WHEN 4 THEN 'scheduled_backup' WHEN 5 THEN 'trust_penalty' WHEN 6 THEN 'status_changed' ELSE 'backed_up' END AS name,
+        CASE WHEN seq % 8 = 0 THEN CASE seq % 5 WHEN 0 THEN '' WHEN 1 THEN 'server:' || CAST(user_id % 20 AS STRING) ELSE 'found:' || CAST(CAST(floor(seq / 16) AS BIGINT) AS STRING) END ELSE 'server:' || CAST(seq % 40 AS STRING) END AS resource_id,
+        CASE seq % 3 WHEN 0 THEN 'file_system' WHEN 1 THEN 'dns_zone' ELSE 'toaster' END AS resource_type, 'server:' || CAST(user_id % 15 AS STRING) AS source, 'database:' || CAST(seq % 400 AS STRING) AS target,
+        CASE WHEN seq % 3 = 0 THEN NULL ELSE (seq % 10) / 10.0E0 END AS confidence, CASE WHEN seq % 5 = 0 THEN NULL ELSE seq % 30 END AS frequency_hours,
+        CASE WHEN seq % 7 = 0 THEN NULL ELSE (seq % 8) / 10.0E0 END AS penalty, CASE WHEN seq % 4 = 2 THEN 'protected' ELSE 'partial' END AS status FROM log""",
     # --- evidence, claims, actions, policies ------------------------------------------------------------------------
     "evidence": """SELECT 'ev:' || CAST(seq AS STRING) AS id, seq, ts, user_id, tenant_id, CAST(floor(value) AS BIGINT) % 101 / 100.0E0 AS reliability FROM log WHERE event_type = 'error'""",
     "claim_kinds": """SELECT 'cl:' || CAST(user_id AS STRING) AS id, user_id, tenant_id, min(seq) AS born, CASE user_id % 4 WHEN 0 THEN 'AnomalyFinding' WHEN 1 THEN 'Relationship' WHEN 2 THEN 'Property' ELSE 'Custom' END AS kind,
@@ -89,6 +97,15 @@ DERIVED: dict[str, str] = {
         UNION ALL SELECT 'act:' || CAST(o_orderkey AS STRING), o_orderkey * 4 + 3, CASE WHEN o_orderkey % 9 = 0 THEN 'Failed' ELSE 'Executed' END FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 6 <> 0 AND o_orderkey % 5 <> 0""",
     "policies": """SELECT * FROM (VALUES ('p1', 'Any', '', 'Review', true), ('p2', 'Kind', 'Restore', 'RequireApproval', true), ('p3', 'Actor', 'actor:3', 'Block', true), ('p4', 'Tenant', 't1', 'Escalate', true),
         ('p5', 'Kind', 'Notify', 'AutoApprove', true), ('p6', 'Claim', 'cl:7', 'Reject', true), ('p7', 'Any', '', 'Block', false), ('p8', 'Custom', 'x', 'Reject', true)) AS t(policy_id, scope, scope_value, kind, active)""",
+    "approvals": """SELECT 'apr:' || CAST(o_orderkey AS STRING) AS id, 'act:' || CAST(o_orderkey AS STRING) AS action_id, CASE o_orderkey % 3 WHEN 0 THEN 'Requested' WHEN 1 THEN 'Granted' ELSE 'Denied' END AS status, 'actor:' || CAST(o_custkey % 7 AS STRING) AS approver, o_orderdate AS at FROM orders WHERE o_orderkey % 4 = 2""",
+    # --- schemas, models, cells ---------------------------------------------------------------------------------------
+    "schemas": """SELECT * FROM (VALUES ('sc1', 'Node', 'server', 'Active', 1), ('sc2', 'Node', 'database', 'Active', 1), ('sc3', 'Node', 'bucket', 'Deprecated', 2), ('sc4', 'Edge', 'contains', 'Active', 1), ('sc5', 'Edge', 'placed_by', 'Draft', 1),
+        ('sc6', 'Claim', 'is_stale', 'Active', 1), ('sc7', 'Evidence', 'error', 'Active', 3), ('sc8', 'Action', 'Restore', 'Active', 1), ('sc9', 'Policy', 'Review', 'Active', 1)) AS t(schema_id, entity, label, status, version)""",
+    "schema_fields": """SELECT * FROM (VALUES ('sc1', 'criticality', 'integer', true, 0.0E0, 10.0E0), ('sc1', 'provider', 'string', true, NULL, NULL), ('sc1', 'backup_hours', 'integer', false, 1.0E0, 24.0E0), ('sc2', 'backup_hours', 'integer', true, 0.0E0, 30.0E0),
+        ('sc4', 'quantity', 'integer', true, 1.0E0, 45.0E0), ('sc6', 'confidence', 'number', true, 0.2E0, 1.0E0), ('sc7', 'reliability', 'number', true, 0.05E0, 1.0E0), ('sc8', 'target', 'string', true, NULL, NULL), ('sc8', 'urgency', 'integer', true, NULL, NULL), ('sc9', 'scope_value', 'string', true, NULL, NULL)) AS t(schema_id, field, type, required, low, high)""",
+    "micromodels": """SELECT DISTINCT 'mm:' || event_type AS id, event_type AS source, CASE event_type WHEN 'error' THEN 'ActionFailureRate' WHEN 'view' THEN 'CommitRate' WHEN 'click' THEN 'AgentLoopStorm' ELSE 'ReplicationLag' END AS kind, CASE WHEN event_type = 'signup' THEN 'Disabled' ELSE 'Enabled' END AS status FROM log""",
+    "predictions": """SELECT 'pred:' || CAST(seq AS STRING) AS id, 'mm:' || event_type AS model_id, 'run:' || CAST(CAST(floor(seq / 50) AS BIGINT) AS STRING) AS run_id, seq, CASE WHEN value >= 150 THEN 'critical' WHEN value >= 80 THEN 'warning' WHEN rn < 5 THEN 'warming_up' ELSE 'normal' END AS level FROM log""",
+    "cells": """SELECT 'cell:u' || CAST(user_id AS STRING) AS id, CASE user_id % 3 WHEN 0 THEN 'Incident' WHEN 1 THEN 'Health' ELSE 'Custom' END AS kind, tenant_id, min(seq) AS born FROM log GROUP BY user_id, tenant_id""",
     # --- sensors, replicas, models, cells, identities, commits ------------------------------------------------------
     "checkpoints": """SELECT 'ckpt:' || CAST(seq AS STRING) AS id, 'sensor:' || CAST(user_id % 10 AS STRING) AS sensor_id, event_type AS source, 'offset:' || event_type || ':' || CAST(CAST(floor(seq / 3) AS BIGINT) AS STRING) AS cursor_key, seq FROM log""",
     "heartbeats": """SELECT 'replica:' || CAST(user_id % 12 AS STRING) AS peer_id, seq, ts, seq - CAST(floor(value) AS BIGINT) % 120 AS follower_offset, seq AS leader_offset, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) % 120 END AS lag FROM log WHERE event_type = 'view'""",
