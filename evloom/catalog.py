@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import arms, estate, graph, history, lookups, workflow  # noqa: F401  each registers its queries
+from .plans import arms, estate, graph, history, lookups, records, workflow  # noqa: F401  each registers its queries
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "impact_score"

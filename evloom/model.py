@@ -97,12 +97,21 @@ DERIVED: dict[str, str] = {
         UNION ALL SELECT 'act:' || CAST(o_orderkey AS STRING), o_orderkey * 4 + 3, CASE WHEN o_orderkey % 9 = 0 THEN 'Failed' ELSE 'Executed' END FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 6 <> 0 AND o_orderkey % 5 <> 0""",
     "policies": """SELECT * FROM (VALUES ('p1', 'Any', '', 'Review', true), ('p2', 'Kind', 'Restore', 'RequireApproval', true), ('p3', 'Actor', 'actor:3', 'Block', true), ('p4', 'Tenant', 't1', 'Escalate', true),
         ('p5', 'Kind', 'Notify', 'AutoApprove', true), ('p6', 'Claim', 'cl:7', 'Reject', true), ('p7', 'Any', '', 'Block', false), ('p8', 'Custom', 'x', 'Reject', true)) AS t(policy_id, scope, scope_value, kind, active)""",
-    "approvals": """SELECT 'apr:' || CAST(o_orderkey AS STRING) AS id, 'act:' || CAST(o_orderkey AS STRING) AS action_id, CASE o_orderkey % 3 WHEN 0 THEN 'Requested' WHEN 1 THEN 'Granted' ELSE 'Denied' END AS status, 'actor:' || CAST(o_custkey % 7 AS STRING) AS approver, o_orderdate AS at FROM orders WHERE o_orderkey % 4 = 2""",
+    "approvals": """SELECT 'apr:' || CAST(o_orderkey AS STRING) AS id, 'act:' || CAST(o_orderkey AS STRING) AS action_id, CASE o_orderkey % 3 WHEN 0 THEN 'Requested' WHEN 1 THEN 'Granted' ELSE 'Denied' END AS status, 'actor:' || CAST(o_custkey % 7 AS STRING) AS approver, o_orderdate AS decided_at FROM orders WHERE o_orderkey % 4 = 2""",
     # --- schemas, models, cells ---------------------------------------------------------------------------------------
     "schemas": """SELECT * FROM (VALUES ('sc1', 'Node', 'server', 'Active', 1), ('sc2', 'Node', 'database', 'Active', 1), ('sc3', 'Node', 'bucket', 'Deprecated', 2), ('sc4', 'Edge', 'contains', 'Active', 1), ('sc5', 'Edge', 'placed_by', 'Draft', 1),
         ('sc6', 'Claim', 'is_stale', 'Active', 1), ('sc7', 'Evidence', 'error', 'Active', 3), ('sc8', 'Action', 'Restore', 'Active', 1), ('sc9', 'Policy', 'Review', 'Active', 1)) AS t(schema_id, entity, label, status, version)""",
-    "schema_fields": """SELECT * FROM (VALUES ('sc1', 'criticality', 'integer', true, 0.0E0, 10.0E0), ('sc1', 'provider', 'string', true, NULL, NULL), ('sc1', 'backup_hours', 'integer', false, 1.0E0, 24.0E0), ('sc2', 'backup_hours', 'integer', true, 0.0E0, 30.0E0),
-        ('sc4', 'quantity', 'integer', true, 1.0E0, 45.0E0), ('sc6', 'confidence', 'number', true, 0.2E0, 1.0E0), ('sc7', 'reliability', 'number', true, 0.05E0, 1.0E0), ('sc8', 'target', 'string', true, NULL, NULL), ('sc8', 'urgency', 'integer', true, NULL, NULL), ('sc9', 'scope_value', 'string', true, NULL, NULL)) AS t(schema_id, field, type, required, low, high)""",
+    "schema_fields": """SELECT * FROM (VALUES ('sc1', 'criticality', 'Int', true), ('sc1', 'provider', 'String', true), ('sc1', 'backup_hours', 'Float', false), ('sc2', 'backup_hours', 'Int', true), ('sc4', 'quantity', 'Int', true), ('sc6', 'confidence', 'Float', true), ('sc6', 'reason', 'String', true),
+        ('sc7', 'reliability', 'Float', true), ('sc8', 'target', 'String', true), ('sc8', 'urgency', 'Int', true), ('sc9', 'scope_value', 'String', true)) AS t(schema_id, field, type, required)""",
+    # what is to be validated: the records, and the fields that each has with the types of their values
+    "payloads": """SELECT 'Node' AS entity, type AS label, CASE WHEN type = 'bucket' OR k % 6 = 5 THEN 'update' ELSE 'create' END AS mode, id FROM resources
+        UNION ALL SELECT 'Edge', 'contains', CASE WHEN l_linenumber = 1 THEN 'create' ELSE 'update' END, CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT 'Claim', predicate, 'create', id FROM claim_kinds
+        UNION ALL SELECT 'Evidence', 'error', 'create', id FROM evidence UNION ALL SELECT 'Action', kind, 'create', id FROM actions UNION ALL SELECT 'Policy', kind, 'create', policy_id FROM policies""",
+    "payload_fields": """SELECT 'Node' AS entity, id, 'criticality' AS field, 'Int' AS tag FROM resources WHERE k % 13 <> 1 UNION ALL SELECT 'Node', id, 'provider', CASE WHEN k % 10 = 3 THEN 'Int' ELSE 'String' END FROM resources
+        UNION ALL SELECT 'Node', id, 'backup_hours', CASE WHEN k % 8 = 2 THEN 'Bool' ELSE 'Int' END FROM resources WHERE backup_hours IS NOT NULL
+        UNION ALL SELECT 'Edge', CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING), 'quantity', CASE WHEN l_quantity > 45 THEN 'String' ELSE 'Int' END FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 11 <> 0
+        UNION ALL SELECT 'Claim', id, 'confidence', 'Float' FROM claim_kinds UNION ALL SELECT 'Claim', id, 'reason', 'String' FROM claim_kinds WHERE user_id % 4 = 0 UNION ALL SELECT 'Evidence', id, 'reliability', 'Float' FROM evidence WHERE reliability > 0.05E0
+        UNION ALL SELECT 'Action', id, 'target', 'String' FROM actions UNION ALL SELECT 'Action', id, 'urgency', CASE WHEN k % 3 = 0 THEN 'Float' ELSE 'Int' END FROM actions WHERE k % 5 <> 0 UNION ALL SELECT 'Policy', policy_id, 'scope_value', 'String' FROM policies WHERE scope_value <> ''""",
     "micromodels": """SELECT DISTINCT 'mm:' || event_type AS id, event_type AS source, CASE event_type WHEN 'error' THEN 'ActionFailureRate' WHEN 'view' THEN 'CommitRate' WHEN 'click' THEN 'AgentLoopStorm' ELSE 'ReplicationLag' END AS kind, CASE WHEN event_type = 'signup' THEN 'Disabled' ELSE 'Enabled' END AS status FROM log""",
     "predictions": """SELECT 'pred:' || CAST(seq AS STRING) AS id, 'mm:' || event_type AS model_id, 'run:' || CAST(CAST(floor(seq / 50) AS BIGINT) AS STRING) AS run_id, seq, CASE WHEN value >= 150 THEN 'critical' WHEN value >= 80 THEN 'warning' WHEN rn < 5 THEN 'warming_up' ELSE 'normal' END AS level FROM log""",
     "cells": """SELECT 'cell:u' || CAST(user_id AS STRING) AS id, CASE user_id % 3 WHEN 0 THEN 'Incident' WHEN 1 THEN 'Health' ELSE 'Custom' END AS kind, tenant_id, min(seq) AS born FROM log GROUP BY user_id, tenant_id""",

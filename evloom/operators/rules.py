@@ -91,6 +91,17 @@ def verify_claims(claims: DataFrame, evidence: DataFrame, kinds: list[str]) -> D
     return rows.select("id", decision.alias("decision"))
 
 
+def verification_events(decisions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """claim_id, event, evidence_id: what each decision (id, decision) leads to; support names the first reliable
+    evidence, a dispute the first contradicting one (by seq). Kept and verified claims lead to nothing."""
+    reliable = (F.col("side") == "for") & (F.col("reliability") >= VERIFY_RELIABILITY)
+    first = evidence.groupBy(F.col("claim_id").alias("id")).agg(F.min(F.when(reliable, F.struct("seq", "evidence_id"))).alias("f"), F.min(F.when(F.col("side") == "against", F.struct("seq", "evidence_id"))).alias("a"))
+    d = F.col("decision")
+    event = F.when(d == "verify", "ClaimVerified").when(d == "support", "ClaimSupported").when(d == "dispute", "ClaimDisputed").when(d == "human_review", "claim_needs_human_review").when(d == "missing_evidence", "claim_missing_evidence")
+    named = F.when(d == "support", F.col("f.evidence_id")).when(d == "dispute", F.col("a.evidence_id"))
+    return decisions.join(first, "id", "left").select(F.col("id").alias("claim_id"), event.alias("event"), named.alias("evidence_id")).filter("event is not null")
+
+
 def match_policies(actions: DataFrame, policies: DataFrame) -> DataFrame:
     """id, policy_id, decision of each active policy that covers an action (id, kind, actor, tenant_id, claim_id)."""
     value = F.col("scope_value")
