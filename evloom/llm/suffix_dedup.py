@@ -10,7 +10,9 @@ neighbours with a common prefix of ``width`` or more. A minimiser with very many
 their sorted strings are merged by binary search.
 
 Null text: empty. Null doc_id: after all others. Rows that repeat a document wholly count as one document and get the
-same result; rows of one doc_id with different texts are ordered by the hash of their text.
+same result; rows of one doc_id with different texts (ties) are ordered by the hash of their text. A text of any length
+is cut in runs of windows before anything is compared. No rows give no rows. Only doc_id and text are read, so columns
+of other names, whatever they are, don't clash.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from . import arrays as A
 from . import superkmers as S
 from .scratch import keep
 
+#: The strings of a minimiser that is split over shards are merged in so many parts, by their hash.
+PART_BITS = 10
 FIRST = 7  # bytes in the first sort key, 9 bits each: 0 is the end of a run
 
 
@@ -122,11 +126,12 @@ def _shard(table: pa.Table, width: int) -> Iterator[dict]:
         mine = np.flatnonzero(~later & (a[r] == value) & hot[r])
         cover = A.grams(sym.astype(A.U), 64)
         digest = A.join_hash(cover[sa[mine]], cover[sa[mine] + width - 64])
-        for part in range(8):
-            pos = mine[(digest >> A.U(61)) == part]
-            d = digest[(digest >> A.U(61)) == part]
-            order = np.argsort(d)
-            yield {"a": [int(value)], "part": [part], "sub": [int(sub[r[mine[0]]])], "reps": [np.stack([d[order].view(np.int64), key[0][pos[order]], key[1][pos[order]], key[2][pos[order]]]).tobytes()]}
+        order = np.argsort(digest)
+        mine, digest = mine[order], digest[order]
+        cuts = np.searchsorted(digest >> A.U(64 - PART_BITS), np.arange((1 << PART_BITS) + 1, dtype=A.U))
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            pos, d = mine[cuts[part] : cuts[part + 1]], digest[cuts[part] : cuts[part + 1]]
+            yield {"a": [int(value)], "part": [part], "sub": [int(sub[r[mine[0]]])], "reps": [np.stack([d.view(np.int64), key[0][pos], key[1][pos], key[2][pos]]).tobytes()]}
 
 
 def _ranges(did: np.ndarray, th: np.ndarray, s: np.ndarray, r: np.ndarray, offset: np.ndarray, width: int) -> dict:

@@ -7,7 +7,8 @@ Runs of equal content (``seg``) are settled by their coordinates; the others wit
 content is fetched and compared by the operator.
 
 A document is known by ``did`` (doc_id; null as the largest long) and ``th`` (hash of its text), so rows that repeat a
-document count as one document.
+document count as one document: its runs go on once, and its text is fetched once, however often it is there. Symbols,
+runs and strings are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -87,9 +88,11 @@ def repeated_runs(docs: DataFrame, symbols: Callable, width: int, k: int, by_doc
     """
     runs = docs.select("did", "th", "text").mapInArrow(_scan(symbols, width, k, by_document), RUNS)
     one, same = Window.partitionBy("a", "settled"), Window.partitionBy("a", "settled", "seg")
+    in_order = one.orderBy("seg", "did", "th", "s")
     runs = runs.select("*", F.count(F.lit(1)).over(one).alias("c"), F.min("seg").over(one).alias("lo"), F.max("seg").over(one).alias("hi"))
     runs = runs.filter("settled or c > 1")
-    runs = runs.withColumn("first", F.min(F.struct("did", "th", "s")).over(same)).withColumn("nth", F.row_number().over(one.orderBy("seg")))
+    runs = runs.withColumn("first", F.min(F.struct("did", "th", "s")).over(same)).withColumn("nth", F.row_number().over(in_order)).withColumn("before", F.lag(F.struct("seg", "did", "th", "s")).over(in_order))
+    runs = runs.filter("before is null or before != struct(seg, did, th, s)")  # the runs of a document that repeats, once
     later = F.col("did") > F.col("first.did") if by_document else F.struct("did", "th", "s") != F.col("first")
     runs = runs.withColumn("settled", F.col("settled") | later).filter("settled or lo != hi")
     return runs.select("did", "th", "s", "n", "a", "settled", (F.col("c") > SPLIT).alias("hot"), F.floor((F.col("nth") - 1) / SPLIT).cast("int").alias("sub"))
@@ -98,7 +101,7 @@ def repeated_runs(docs: DataFrame, symbols: Callable, width: int, k: int, by_doc
 def contents(docs: DataFrame, candidates: DataFrame, cut: Callable) -> DataFrame:
     """Candidates with their content: did, th, s, n, a, hot, sub, body. ``cut`` gives one row's pieces as bytes."""
     wanted = candidates.groupBy("did", "th").agg(F.collect_list(F.struct("s", "n", "a", "hot", "sub")).alias("runs"))
-    both = docs.select("did", "th", "text").join(wanted.hint("shuffle_hash"), ["did", "th"])
+    both = docs.select("did", "th", "text").join(wanted.hint("shuffle_hash"), ["did", "th"]).dropDuplicates(["did", "th"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.pieces(batches):

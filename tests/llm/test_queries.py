@@ -72,6 +72,41 @@ def test_windows(spark, sf_dir):
     assert got(spark, sf_dir, "op5_substring_dedup", "n_words", "n_removed", "kept_sha256") == brute.windows(rows_of(spark, sf_dir), 13)
 
 
+@pytest.mark.parametrize("split", [3, 8192])
+def test_hot_minimisers(spark, split, monkeypatch):
+    """A line that very many documents share, between words of their own: one minimiser, split over shards or not."""
+    from evloom.llm import substring, suffix_dedup, superkmers
+
+    monkeypatch.setattr(superkmers, "SPLIT", split)
+    monkeypatch.setattr(superkmers, "SHARD", 40)
+    rng = np.random.default_rng(9)
+    line = " ".join(f"shared{i}" for i in range(16))
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    rows = [(i, f"{own(i % 7)} {line} {own(i % 5)} {line if i % 11 == 0 else ''}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(df).collect()}
+    assert found == brute.substrings(rows, 100)
+    found = {r["doc_id"]: tuple(r["dedup"])[:3] for r in substring.dedup_windows(df).collect()}
+    assert found == brute.windows(rows, 13)
+
+
+def test_repeated_rows_cost_no_squares(spark):
+    """A document that is there five hundred times has each of its runs compared once."""
+    from evloom.llm import arrays as A
+    from evloom.llm import superkmers
+
+    text, other = " ".join(f"word{i}" for i in range(60)), " ".join(f"word{i}" for i in range(10, 40))
+    for n in (1, 500):
+        docs = superkmers.keyed(spark.createDataFrame([(1, text)] * n + [(2, f"start {other} end")], "doc_id long, text string").repartition(4))
+        runs = superkmers.repeated_runs(docs, A.texts, 100, 32, False)
+        cut = lambda column, row, s, n: [b"x"] * len(row)
+        bodies = superkmers.contents(docs, runs.filter("not settled"), cut).count()
+        assert bodies == runs.filter("not settled").count() < 60
+        if n == 1:
+            once = bodies
+    assert bodies == once
+
+
 def test_near_copies(spark, sf_dir):
     assert got(spark, sf_dir, "op3_minhash_near_dedup", "n_shingles", "component_id", "kept") == brute.components(rows_of(spark, sf_dir), 85)
 
