@@ -125,6 +125,9 @@ DERIVED: dict[str, str] = {
         UNION ALL SELECT id, 'erp', 'main', replace(canonical_key, '#', '') FROM identities WHERE confidence >= 0.25""",
     "links": """SELECT 'lnk:' || CAST(s_suppkey AS STRING) AS id, 't0' AS tenant_id, CASE s_suppkey % 3 WHEN 0 THEN 'SameAs' WHEN 1 THEN 'DependsOn' ELSE 'Custom' END AS kind, 'ent:s' || CAST(s_suppkey AS STRING) AS from_id,
         'ent:c' || CAST(s_suppkey * 3 AS STRING) AS to_id, (s_suppkey % 11) / 10.0E0 AS confidence, s_suppkey % 4 AS n_refs FROM supplier""",
+    # --- signals of a story (a claim), with what is known of their entity, cell and claim ------------------------------
+    "story_signals": """SELECT e.id, k.id AS story, 'ent:c' || CAST(e.user_id AS STRING) AS entity, e.tenant_id AS source, e.seq, e.ts, e.reliability, (e.user_id % 20) / 20.0E0 AS trust, (e.user_id % 11) / 10.0E0 AS cell_trust, k.predicate, c.side, e.user_id % 6 = 1 AS linked
+        FROM evidence e JOIN claim_evidence c ON c.evidence_id = e.id JOIN claim_kinds k ON k.id = c.claim_id""",
     "batches": """SELECT CAST(floor(seq / 100) AS BIGINT) + 1 AS sequence, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS committed_at, 'key:' || CAST(CAST(floor(seq / 100) AS BIGINT) AS STRING) AS idempotency_key,
         sum(user_id) AS material FROM log GROUP BY CAST(floor(seq / 100) AS BIGINT)""",
 }

@@ -195,12 +195,16 @@ def src_cloudtrail(m):
 
 # --- identities, trust, correlation ----------------------------------------------------------------------------------
 
-ENTITY = """ent AS (SELECT i.id, i.kind, i.tenant_id, least(0.85E0, greatest(0.0E0, CASE WHEN i.confidence >= 0.8 THEN 0.30E0 ELSE 0 END + CASE WHEN a.n > 1 THEN 0.10E0 WHEN a.n = 1 THEN -0.10E0 ELSE 0 END + 0.20E0 + 0.10E0)) AS trust FROM identities i LEFT JOIN (SELECT entity_id, count(*) AS n FROM aliases GROUP BY entity_id) a ON a.entity_id = i.id)"""
+ENTITY = """bad_alias AS (SELECT source, namespace, normalized FROM aliases GROUP BY source, namespace, normalized HAVING count(DISTINCT entity_id) > 1),
+    al AS (SELECT a.entity_id, count(*) AS n, count(DISTINCT a.source) AS n_sources, bool_or(a.normalized = i.canonical_key) AS matches, bool_or(b.source IS NOT NULL) AS bad FROM aliases a JOIN identities i ON i.id = a.entity_id LEFT JOIN bad_alias b ON b.source = a.source AND b.namespace = a.namespace AND b.normalized = a.normalized GROUP BY a.entity_id),
+    ends AS (SELECT from_id AS id FROM links UNION SELECT to_id FROM links),
+    ent AS (SELECT i.id, i.kind, i.tenant_id, i.canonical_key, least(0.85E0, greatest(0.0E0, CASE WHEN i.confidence >= 0.8 THEN 0.30E0 WHEN i.confidence < 0.2 THEN -0.30E0 ELSE 0 END + CASE WHEN a.n > 1 THEN 0.10E0 WHEN a.n = 1 THEN -0.10E0 ELSE -0.20E0 END + 0.20E0 + 0.10E0 + CASE WHEN a.n_sources > 1 THEN 0.10E0 ELSE 0 END
+    + CASE WHEN a.matches THEN 0.10E0 ELSE 0 END + 0.05E0 + CASE WHEN e.id IS NOT NULL THEN 0.10E0 ELSE 0 END - CASE WHEN a.bad THEN 0.25E0 ELSE 0 END)) AS trust FROM identities i LEFT JOIN al a ON a.entity_id = i.id LEFT JOIN ends e ON e.id = i.id)"""
 LEVEL = "CASE WHEN {s} >= 0.8 THEN 'High' WHEN {s} >= 0.5 THEN 'Medium' WHEN {s} >= 0.2 THEN 'Low' ELSE 'Unknown' END"
 
 
 def entity_scores(m):
-    return T.entity_trust(m.identities, m.aliases)
+    return T.entity_trust(m.identities, m.aliases, m.links)
 
 
 @query(f"{ENTITY} --- SELECT id, round(trust, 6) AS score, {LEVEL.format(s='round(trust, 6)')} AS level FROM ent")
@@ -214,27 +218,47 @@ def trust_link(m):
     return T.link_trust(m.links, entity_scores(m).select("id", F.col("score").alias("trust"))).select("id", "score")
 
 
-@query(f"""{ENTITY} --- SELECT source, round(least(0.8E0, greatest(0.0E0, CASE WHEN mean >= 0.7 THEN 0.2E0 ELSE 0 END - CASE WHEN mean <= 0.4 THEN 0.2E0 ELSE 0 END + CASE WHEN n >= 10 THEN 0.2E0 ELSE 0 END + 0.2E0)), 6) AS score FROM (SELECT a.source, avg(round(e.trust, 6)) AS mean, count(*) AS n FROM aliases a JOIN ent e ON e.id = a.entity_id GROUP BY a.source) x""")
+@query(f"""{ENTITY} --- SELECT x.source, round(least(0.8E0, greatest(0.0E0, 0.2E0 + CASE WHEN mean >= 0.7 THEN 0.2E0 ELSE 0 END - CASE WHEN mean <= 0.4 THEN 0.2E0 ELSE 0 END + CASE WHEN n >= 10 THEN 0.2E0 WHEN n = 1 THEN -0.1E0 ELSE 0 END + CASE WHEN keyed > 0 THEN 0.1E0 ELSE 0 END + CASE WHEN spaces > 1 THEN 0.1E0 ELSE 0 END
+    - CASE WHEN x.source IN (SELECT source FROM bad_alias) THEN 0.2E0 ELSE 0 END)), 6) AS score FROM (SELECT a.source, avg(round(e.trust, 6)) AS mean, count(DISTINCT e.id) AS n, count(DISTINCT a.namespace) AS spaces, count(*) FILTER (WHERE a.normalized = e.canonical_key) AS keyed FROM aliases a JOIN ent e ON e.id = a.entity_id GROUP BY a.source) x""")
 def trust_source(m):
-    return T.source_trust(entity_scores(m).select("id", F.col("score").alias("trust")), m.aliases).select("source", "score")
+    rows = entity_scores(m).select("id", F.col("score").alias("trust")).join(m.identities.select("id", "canonical_key"), "id")
+    return T.source_trust(rows, m.aliases).select("source", "score")
 
 
-@query(f"""{CLAIM_STATUS}, {ACTION_STATUS}, ex AS (SELECT DISTINCT claim_id FROM actions a JOIN action_status s ON s.action_id = a.id WHERE s.status = 'Executed'), base AS (SELECT k.id, k.confidence, s.status, count(e.side) FILTER (WHERE e.side = 'for') AS n_for, count(e.side) FILTER (WHERE e.side = 'for' AND reliability >= 0.75) AS n_rel, count(e.side) FILTER (WHERE e.side = 'against') AS n_against
-    FROM claim_kinds k LEFT JOIN claim_status s ON s.claim_id = k.id LEFT JOIN claim_evidence e ON e.claim_id = k.id GROUP BY k.id, k.confidence, s.status)
-    --- SELECT id, round(least(1.0E0, greatest(0.0E0, CASE status WHEN 'Verified' THEN 0.2E0 WHEN 'Supported' THEN 0.1E0 WHEN 'Disputed' THEN -0.3E0 WHEN 'Retracted' THEN -1.0E0 ELSE 0 END + CASE WHEN confidence >= 0.8 THEN 0.1E0 ELSE 0 END + CASE WHEN n_for > 0 THEN 0.1E0 ELSE 0 END + CASE WHEN n_rel > 0 THEN 0.1E0 ELSE 0 END
-    + CASE WHEN id IN (SELECT claim_id FROM ex) THEN 0.15E0 ELSE 0 END - CASE WHEN n_against > 0 THEN 0.2E0 ELSE 0 END)), 6) AS score FROM base""")
+SETTLED = f"""{CLAIM_STATUS}, {ACTION_STATUS}, act AS (SELECT a.claim_id, bool_or(s.status = 'Executed') AS executed, bool_or(s.status IN ('Executed', 'Failed')) AS outcome, bool_or(p.status = 'Granted') AS approved, bool_or(p.status = 'Granted' AND p.approver <> 'actor:0') AS human FROM actions a JOIN action_status s ON s.action_id = a.id LEFT JOIN approvals p ON p.action_id = a.id GROUP BY a.claim_id),
+    seen AS (SELECT 'cl:' || CAST(l.user_id AS STRING) AS claim_id, count(*) AS n FROM predictions p JOIN log l ON l.seq = p.seq WHERE p.level = 'critical' GROUP BY l.user_id),
+    base AS (SELECT k.id, k.confidence, s.status, count(e.side) FILTER (WHERE e.side = 'for') AS n_for, count(e.side) FILTER (WHERE e.side = 'for' AND reliability >= 0.75) AS n_rel, count(e.side) FILTER (WHERE e.side = 'against') AS n_against FROM claim_kinds k LEFT JOIN claim_status s ON s.claim_id = k.id LEFT JOIN claim_evidence e ON e.claim_id = k.id GROUP BY k.id, k.confidence, s.status)"""
+
+
+@query(f"""{SETTLED} --- SELECT b.id, round(least(1.0E0, greatest(0.0E0, CASE b.status WHEN 'Verified' THEN 0.2E0 WHEN 'Supported' THEN 0.1E0 WHEN 'Disputed' THEN -0.3E0 WHEN 'Retracted' THEN -1.0E0 ELSE 0 END + CASE WHEN confidence >= 0.8 THEN 0.1E0 ELSE 0 END + CASE WHEN n_for > 0 THEN 0.1E0 ELSE 0 END + CASE WHEN n_rel > 0 THEN 0.1E0 ELSE 0 END
+    + CASE WHEN a.approved THEN 0.15E0 ELSE 0 END + CASE WHEN a.executed THEN 0.15E0 ELSE 0 END + CASE WHEN a.outcome THEN 0.1E0 ELSE 0 END + CASE WHEN s.n > 0 THEN 0.1E0 ELSE 0 END + CASE WHEN s.n > 1 THEN 0.1E0 ELSE 0 END + CASE WHEN s.n >= 3 THEN 0.15E0 ELSE 0 END + CASE WHEN a.human THEN 0.1E0 ELSE 0 END - CASE WHEN n_against > 0 THEN 0.2E0 ELSE 0 END)), 6) AS score
+    FROM base b LEFT JOIN act a ON a.claim_id = b.id LEFT JOIN seen s ON s.claim_id = b.id""")
 def trust_claim(m):
     side = lambda s: F.col("side") == s
     e = m.claim_evidence.groupBy(F.col("claim_id").alias("id")).agg(F.count_if(side("for")).alias("n_for"), F.count_if(side("for") & (F.col("reliability") >= 0.75)).alias("n_reliable"), F.count_if(side("against")).alias("n_against"))
-    done = actions(m).filter("status = 'Executed'").select(F.col("claim_id").alias("id")).distinct().withColumn("executed", F.lit(True))
-    rows = claims(m).join(e, "id", "left").join(done, "id", "left").fillna(0, ["n_for", "n_reliable", "n_against"])
+    granted = m.approvals.filter("status = 'Granted'").select(F.col("action_id").alias("id"), "approver")
+    s = F.col("status")
+    done = actions(m).join(granted, "id", "left").groupBy("claim_id").agg(F.bool_or(s == "Executed").alias("executed"), F.bool_or(s.isin("Executed", "Failed")).alias("outcome"), F.bool_or(F.col("approver").isNotNull()).alias("approved"), F.bool_or(F.col("approver") != "actor:0").alias("human_approved"))
+    seen = m.predictions.filter("level = 'critical'").join(m.log.select("seq", "user_id"), "seq").groupBy(F.concat(F.lit("cl:"), F.col("user_id").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("n_observed"))
+    rows = claims(m).join(e, "id", "left").join(done.withColumnRenamed("claim_id", "id"), "id", "left").join(seen, "id", "left").fillna(0, ["n_for", "n_reliable", "n_against"])
     return T.claim_trust(rows).select("id", "score")
 
 
-@query(f"""{ENTITY} --- SELECT cell, round(least(1.0E0, greatest(0.0E0, mean + 0.2E0 + CASE WHEN mean >= 0.8 THEN 0.2E0 ELSE 0 END + CASE WHEN lo >= 0.8 THEN 0.15E0 ELSE 0 END - CASE WHEN lo < 0.5 THEN 0.2E0 ELSE 0 END)), 6) AS score FROM (SELECT kind || '/' || tenant_id AS cell, avg(round(trust, 6)) AS mean, min(round(trust, 6)) AS lo FROM ent GROUP BY kind, tenant_id) x""")
+@query(f"""{ENTITY}, {ACTION_STATUS}, fact AS (SELECT a.tenant_id, bool_or(s.status IN ('Executed', 'Failed')) AS outcomes, bool_or(s.status = 'Executed') AS executed, bool_or(s.status = 'Failed' AND a.kind = 'Restore') AS failed, bool_or(s.status = 'Rejected' AND a.kind = 'Custom') AS rejected FROM actions a JOIN action_status s ON s.action_id = a.id GROUP BY a.tenant_id),
+    obs AS (SELECT l.tenant_id, bool_or(p.level = 'critical') AS observations FROM predictions p JOIN log l ON l.seq = p.seq GROUP BY l.tenant_id), con AS (SELECT k.tenant_id, bool_or(e.side = 'against' AND e.reliability >= 0.9) AS contradicted FROM claim_evidence e JOIN claim_kinds k ON k.id = e.claim_id GROUP BY k.tenant_id),
+    ch AS (SELECT e.kind || '/' || e.tenant_id AS cell, e.tenant_id, CASE WHEN i.confidence > 0 OR e.tenant_id = 't2' THEN round(e.trust, 6) END AS t FROM ent e JOIN identities i ON i.id = e.id)
+    --- SELECT x.cell, round(least(1.0E0, greatest(0.0E0, mean + 0.2E0 + CASE WHEN mean >= 0.8 THEN 0.2E0 ELSE 0 END + CASE WHEN lo >= 0.8 AND known = n THEN 0.15E0 ELSE 0 END - CASE WHEN lo < 0.5 THEN 0.2E0 ELSE 0 END - CASE WHEN known < n THEN 0.1E0 ELSE 0 END + CASE WHEN f.outcomes THEN 0.1E0 ELSE 0 END + CASE WHEN o.observations THEN 0.1E0 ELSE 0 END + CASE WHEN f.executed THEN 0.1E0 ELSE 0 END
+    - CASE WHEN f.failed THEN 0.2E0 ELSE 0 END - CASE WHEN f.rejected THEN 0.15E0 ELSE 0 END - CASE WHEN c.contradicted THEN 0.2E0 ELSE 0 END)), 6) AS score FROM (SELECT cell, tenant_id, avg(t) AS mean, min(t) AS lo, count(*) AS n, count(t) AS known FROM ch GROUP BY cell, tenant_id) x LEFT JOIN fact f ON f.tenant_id = x.tenant_id LEFT JOIN obs o ON o.tenant_id = x.tenant_id LEFT JOIN con c ON c.tenant_id = x.tenant_id""")
 def trust_cell(m):
-    rows = m.identities.join(entity_scores(m).select("id", F.col("score").alias("trust")), "id")
-    return T.cell_trust(rows.select(F.concat_ws("/", "kind", "tenant_id").alias("cell"), "trust")).select("cell", "score")
+    """Cells of the identities of a kind and tenant, with what their tenant's actions, models and claims say."""
+    known = F.when((F.col("confidence") > 0) | (F.col("tenant_id") == "t2"), F.col("score"))
+    rows = m.identities.join(entity_scores(m).select("id", "score"), "id").select(F.concat_ws("/", "kind", "tenant_id").alias("cell"), "tenant_id", known.alias("trust"))
+    s = F.col("status")
+    done = actions(m).groupBy("tenant_id").agg(F.bool_or(s.isin("Executed", "Failed")).alias("outcomes"), F.bool_or(s == "Executed").alias("executed"), F.bool_or((s == "Failed") & (F.col("kind") == "Restore")).alias("failed"), F.bool_or((s == "Rejected") & (F.col("kind") == "Custom")).alias("rejected"))
+    seen = m.predictions.join(m.log.select("seq", "tenant_id"), "seq").groupBy("tenant_id").agg(F.bool_or(F.col("level") == "critical").alias("observations"))
+    against = m.claim_evidence.join(m.claim_kinds.select(F.col("id").alias("claim_id"), "tenant_id"), "claim_id").groupBy("tenant_id").agg(F.bool_or((F.col("side") == "against") & (F.col("reliability") >= 0.9)).alias("contradicted"))
+    facts = rows.select("cell", "tenant_id").distinct().join(done, "tenant_id", "left").join(seen, "tenant_id", "left").join(against, "tenant_id", "left").drop("tenant_id")
+    return T.cell_trust(rows.select("cell", "trust"), facts).select("cell", "score")
 
 
 @query(f"""{ENTITY} --- SELECT tenant_id, count(DISTINCT kind) AS parts, round(avg(t), 6) AS score FROM (SELECT tenant_id, kind, round(max_by(trust, id), 6) AS t FROM ent GROUP BY tenant_id, kind) x GROUP BY tenant_id""")
@@ -245,11 +269,10 @@ def health_cell_compose(m):
 
 
 def alias_queries(m):
-    q = m.supplier.filter("s_suppkey < 20").select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query_id"), F.lit("erp").alias("source"), F.lit("main").alias("namespace"), F.lower(F.regexp_replace("s_name", "#", "")).alias("normalized"), F.lit("supplier").alias("kind"))
-    return q
+    return m.supplier.select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query_id"), F.lit("erp").alias("source"), F.lit("main").alias("namespace"), F.lower(F.regexp_replace("s_name", "#", "")).alias("normalized"), F.lit("supplier").alias("kind"))
 
 
-@query("""q AS (SELECT 'q' || CAST(s_suppkey AS STRING) AS query_id, lower(replace(s_name, '#', '')) AS normalized FROM supplier WHERE s_suppkey < 20), hit AS (SELECT q.query_id, a.entity_id, bool_or(a.source = 'erp') AS exact FROM q JOIN aliases a ON a.normalized = q.normalized AND a.namespace = 'main' GROUP BY q.query_id, a.entity_id)
+@query("""q AS (SELECT 'q' || CAST(s_suppkey AS STRING) AS query_id, lower(replace(s_name, '#', '')) AS normalized FROM supplier), hit AS (SELECT q.query_id, a.entity_id, bool_or(a.source = 'erp') AS exact FROM q JOIN aliases a ON a.normalized = q.normalized AND a.namespace = 'main' GROUP BY q.query_id, a.entity_id)
     --- SELECT query_id, entity_id, round(CASE WHEN exact THEN 0.85E0 ELSE 0.25E0 END + CASE WHEN i.kind = 'supplier' THEN 0.1E0 ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, entity_id) AS rank FROM hit JOIN identities i ON i.id = entity_id""")
 def identity_match(m):
     return T.match_identities(alias_queries(m), m.identities, m.aliases)
@@ -262,35 +285,50 @@ def identity_accept(m):
     return entity_scores(m).select("id", T.may_accept(match, F.col("score"), F.lit(0.8)).alias("accepted"))
 
 
-PAIRS = """pr AS (SELECT a.id AS x, b.id AS y, a.user_id = b.user_id AS same_entity, a.tenant_id = b.tenant_id AS same_source, b.us - a.us <= 900000000 AS close_in_time, a.reliability >= 0.8 AND b.reliability >= 0.8 AS entity_trust FROM (SELECT *, epoch_us(ts) AS us, lead(id) OVER (PARTITION BY tenant_id ORDER BY seq) AS nxt FROM evidence) a JOIN (SELECT *, epoch_us(ts) AS us FROM evidence) b ON b.id = a.nxt),
-    cor AS (SELECT x || '+' || y AS pair, round(CASE WHEN same_entity THEN 0.25E0 ELSE 0 END + CASE WHEN same_source THEN 0.1E0 ELSE 0 END + CASE WHEN close_in_time THEN 0.1E0 ELSE 0 END + CASE WHEN entity_trust THEN 0.15E0 ELSE 0 END, 6) AS score FROM pr)"""
+@query("""q AS (SELECT 'q' || CAST(s_suppkey AS STRING) AS query_id, lower(replace(s_name, '#', '')) AS normalized FROM supplier), hit AS (SELECT q.query_id, a.entity_id, bool_or(a.source = 'erp') AS exact FROM q JOIN aliases a ON a.normalized = q.normalized AND a.namespace = 'main' GROUP BY q.query_id, a.entity_id)
+    --- SELECT h.query_id, h.entity_id, round(greatest(0.0E0, CASE WHEN h.exact THEN 0.4E0 ELSE 0 END + CASE WHEN CASE WHEN h.exact THEN 0.85E0 ELSE 0.25E0 END + CASE WHEN i.kind = 'supplier' THEN 0.1E0 ELSE 0 END >= 0.8 THEN 0.25E0 ELSE 0 END - CASE WHEN i.id LIKE '%7' THEN 0.35E0 ELSE 0 END), 6) AS score FROM hit h JOIN identities i ON i.id = h.entity_id""")
+def trust_match(m):
+    """Whether to trust each match, besides how well it matches; here the entities whose id ends in 7 have a conflict."""
+    exact = alias_queries(m).join(m.aliases, ["source", "namespace", "normalized"]).select("query_id", "entity_id", F.lit(True).alias("exact"))
+    rows = identity_match(m).join(exact, ["query_id", "entity_id"], "left").select("query_id", "entity_id", "exact", F.col("score").alias("match_score"), F.endswith("entity_id", F.lit("7")).alias("conflict"))
+    return T.match_trust(rows).select("query_id", "entity_id", "score")
+
+
+ASSESSED = """sg AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY story ORDER BY epoch_us(ts)) AS gap FROM story_signals),
+    cor AS (SELECT story, n_signals, round(least(1.0E0, greatest(0.0E0, CASE WHEN n_signals > n_entities THEN 0.25E0 ELSE 0 END + CASE WHEN linked THEN 0.2E0 ELSE 0 END + CASE WHEN n_signals > n_sources THEN 0.1E0 ELSE 0 END + CASE WHEN reliability >= 0.5 THEN 0.1E0 ELSE 0 END + CASE WHEN trust >= 0.5 THEN 0.15E0 ELSE 0 END + CASE WHEN cell_trust >= 0.8 THEN 0.15E0 ELSE 0 END
+    + CASE WHEN gap <= 900000000 THEN 0.1E0 ELSE 0 END + CASE WHEN n_signals > n_predicates THEN 0.1E0 ELSE 0 END - CASE WHEN n_sides > 1 THEN 0.3E0 ELSE 0 END)), 6) AS score FROM (SELECT story, count(*) AS n_signals, count(DISTINCT entity) AS n_entities, count(DISTINCT source) AS n_sources, count(DISTINCT predicate) AS n_predicates, count(DISTINCT side) AS n_sides, bool_or(linked) AS linked,
+    avg(reliability) AS reliability, avg(trust) AS trust, avg(cell_trust) AS cell_trust, min(gap) AS gap FROM sg GROUP BY story HAVING count(*) >= 2) x)"""
+STRENGTH = "CASE WHEN score >= 0.8 THEN 'Strong' WHEN score >= 0.5 THEN 'Moderate' WHEN score >= 0.2 THEN 'Weak' ELSE 'None' END"
+
 
+def signals(m):
+    return m.story_signals.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
-def correlated(m):
-    """Neighbouring signals of each tenant, with what they have in common."""
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("tenant_id").orderBy("seq")
-    nxt = F.lead(F.struct("id", "user_id", "ts", "reliability")).over(w).alias("b")
-    rows = m.evidence.select("id", "user_id", "ts", "reliability", nxt).filter("b is not null")
-    near = F.unix_micros(F.col("b.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) <= T.CLOSE_SECONDS * 1_000_000
-    return T.correlate(rows.select(F.concat_ws("+", "id", "b.id").alias("pair"), (F.col("user_id") == F.col("b.user_id")).alias("same_entity"), F.lit(True).alias("same_source"), near.alias("close_in_time"), ((F.col("reliability") >= 0.8) & (F.col("b.reliability") >= 0.8)).alias("entity_trust")))
+def assessed(m):
+    return T.correlate(T.together(signals(m), "story"), "story")
 
 
-@query(f"{PAIRS} --- SELECT pair, score, {LEVEL.format(s='score')} AS level FROM cor")
+@query(f"{ASSESSED} --- SELECT story, score, {LEVEL.format(s='score')} AS level, {STRENGTH} AS strength, n_signals FROM cor")
 def correlate_assess(m):
-    return correlated(m).select("pair", "score", "level")
+    """Whether the signals of each story belong together."""
+    return assessed(m)
 
 
-@query(f"{PAIRS} --- SELECT pair, score FROM cor WHERE score >= 0.2")
+@query(f"""sd AS (SELECT *, epoch_us(ts) AS us FROM story_signals WHERE seq = (SELECT min(seq) FROM story_signals)), rel AS (SELECT DISTINCT s.id, s.entity = d.entity AS e, s.source = d.source AS o, s.predicate = d.predicate AS p, abs(epoch_us(s.ts) - d.us) <= 900000000 AS t, (s.reliability + d.reliability) / 2 >= 0.5 AS r, (s.trust + d.trust) / 2 >= 0.5 AS i, s.side <> d.side AS c
+    FROM story_signals s JOIN sd d ON s.id <> d.id AND (s.entity = d.entity OR s.story = d.story OR (s.source = d.source AND abs(epoch_us(s.ts) - d.us) <= 900000000))),
+    sc AS (SELECT id, round(least(1.0E0, greatest(0.0E0, CASE WHEN e THEN 0.25E0 ELSE 0 END + CASE WHEN o THEN 0.1E0 ELSE 0 END + CASE WHEN p THEN 0.1E0 ELSE 0 END + CASE WHEN t THEN 0.1E0 ELSE 0 END + CASE WHEN r THEN 0.1E0 ELSE 0 END + CASE WHEN i THEN 0.15E0 ELSE 0 END - CASE WHEN c THEN 0.3E0 ELSE 0 END)), 6) AS score FROM rel)
+    --- SELECT id, score, {STRENGTH} AS strength, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc WHERE score >= 0.2 QUALIFY rank <= 200""")
 def correlate_discover(m):
-    return correlated(m).filter("score >= 0.2").select("pair", "score").orderBy(F.desc("score"), "pair")
+    """What relates to the first signal of all."""
+    every = signals(m)
+    return T.discover(every, every.join(every.agg(F.min("seq").alias("seq")), "seq", "left_semi").select("id", "entity", "story", "source", "us", "reliability", "trust", "predicate", "side"))
 
 
-@query(f"{PAIRS} --- SELECT 'cell:' || pair AS cell, score FROM cor WHERE score >= 0.5")
+@query(f"{ASSESSED} --- SELECT 'cell:' || story AS cell, score FROM cor WHERE score >= 0.8")
 def correlate_anchor(m):
-    """Stories that are strong enough become incident cells with the same score."""
-    return correlated(m).filter("score >= 0.5").select(F.concat(F.lit("cell:"), "pair").alias("cell"), "score")
+    """Stories of high trust and strong correlation become incident cells with the same score."""
+    return assessed(m).filter("level = 'High' and strength = 'Strong' and n_signals >= 2").select(F.concat(F.lit("cell:"), "story").alias("cell"), "score")
 
 
 @query(f"{ACTION_STATUS} --- SELECT a.id, s.status = 'Approved' AND a.kind = 'Notify' AND k.confidence >= 0.8 AS execute, s.status = 'Proposed' AND a.kind = 'Notify' AND k.confidence >= 0.9 AS approve FROM actions a JOIN action_status s ON s.action_id = a.id JOIN claim_kinds k ON k.id = a.claim_id")
