@@ -19,7 +19,8 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, exp
     ``expand``: a condition on an edge's columns; edges that don't meet it are not followed. The first (least) depth
     of a node counts, so cycles end.
     """
-    edges = (edges.filter(expand) if expand is not None else edges).select("src", "dst")
+    # Written once, or else every round would derive them again.
+    edges = keep((edges.filter(expand) if expand is not None else edges).select("src", "dst"), "ways")
     seen = keep(starts.select("root", "node").distinct().withColumn("depth", F.lit(0).cast("long")), "reach")
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -60,30 +61,37 @@ def first_parents(parents: DataFrame) -> DataFrame:
 
     ``parents``: node, parent (null: none). The rounds are the logarithm of the longest chain."""
     at = keep(parents.select("node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("long").alias("depth")), "chain")
+    before = -1
     while True:
+        now = at.agg(F.coalesce(F.sum("depth"), F.lit(0)).alias("all"), F.coalesce(F.max("depth"), F.lit(0)).alias("most"), F.count(F.lit(1)).alias("n")).first()
+        if now["most"] > now["n"]:
+            raise ValueError("first parents form a cycle")
+        if now["all"] == before:
+            return at
+        before = now["all"]
         up = at.select(F.col("node").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        new = keep(at.join(up, "root").select("node", F.col("above").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "chain")
-        if new.agg(F.sum("depth")).first()[0] == at.agg(F.sum("depth")).first()[0]:
-            return new
-        at = new
+        at = keep(at.join(up, "root").select("node", F.col("above").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "chain")
 
 
 def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """node, level: dependencies (``needs``: node, on) have lower levels; null in and behind cycles.
 
     Dependencies on nodes outside ``nodes`` don't count."""
-    left = keep(nodes.select("node").distinct(), "levels")
-    needs = keep(needs.select("node", "on").distinct().join(left.withColumnRenamed("node", "on"), "on", "left_semi").join(left, "node", "left_semi"), "needs")
-    done, level = None, 0
-    while True:
-        ready = keep(left.join(needs.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level).cast("long")), "levels")
-        if ready.isEmpty():
-            rest = left.withColumn("level", F.lit(None).cast("long"))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        left = keep(left.join(ready, "node", "left_anti"), "levels")
-        needs = keep(needs.join(ready.select(F.col("node").alias("on")), "on", "left_anti"), "needs")
+    nodes = keep(nodes.select("node").distinct(), "nodes")
+    inside = needs.select("node", "on").distinct().join(nodes.withColumnRenamed("node", "on"), "on", "left_semi").join(nodes, "node", "left_semi")
+    needs = keep(inside, "needs")
+    degree = keep(needs.groupBy("node").agg(F.count(F.lit(1)).alias("needs")), "degree")
+    frontier = keep(nodes.join(degree, "node", "left_anti"), "levels")
+    done, met, level = frontier.withColumn("level", F.lit(0).cast("long")), None, 0
+    # A node is ready once as many of its needs are met as it has; a round reads and writes only nodes that it touches.
+    while not frontier.isEmpty():
         level += 1
+        step = keep(needs.join(frontier.withColumnRenamed("node", "on"), "on").groupBy("node").agg(F.count(F.lit(1)).alias("met")), "met")
+        met = step if met is None else met.unionByName(step)
+        so_far = met.join(step.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("met").alias("met"))
+        frontier = keep(so_far.join(degree, "node").filter("met = needs").select("node"), "levels")
+        done = done.unionByName(frontier.withColumn("level", F.lit(level).cast("long")))
+    return nodes.join(done, "node", "left")
 
 
 def depths(links: DataFrame) -> DataFrame:

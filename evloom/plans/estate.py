@@ -10,7 +10,7 @@ from ..operators import detectors as D
 from ..operators import reports as R
 from ..operators import rules
 from ..operators.closure import depths
-from .graph import LOST, impact_score
+from .graph import DIFFERENT, impact_score
 from .lookups import ACTION_STATUS, CLAIM_STATUS, SUBSCRIPTIONS, actions, claims, subscription_matches
 from .registry import query
 
@@ -166,7 +166,7 @@ def anomaly_topology(m):
     return rules.anomaly_topology(m.nodes, m.edges, table)
 
 
-@query(f"{LOST} --- SELECT root, magnitude FROM (SELECT root, nodes * 10 + edges * 5 + properties AS magnitude FROM impact) x WHERE magnitude >= 12")
+@query(f"{DIFFERENT} --- SELECT root, magnitude FROM (SELECT root, nodes * 10 + edges * 5 + properties AS magnitude FROM impact) x WHERE magnitude >= 12")
 def anomaly_counterfactual(m):
     """Events without which much would be missing."""
     return impact_score(m).filter("magnitude >= 12").select("root", "magnitude")

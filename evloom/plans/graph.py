@@ -208,46 +208,48 @@ def recovery_steps(m):
     return recovery_plan(m.depends, m.resources, m.backups, "database:0")
 
 
-def edge_states(m):
-    """Edges with ``final``: alive at the end, as both of their ends are."""
-    ends = m.node_life.filter("died is null").select("node_id")
-    e = m.edge_life
-    for end in ("src", "dst"):
-        e = e.join(ends.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_up")), end, "left")
-    return e.withColumn("final", F.col("died").isNull() & F.coalesce(F.col("src_up") & F.col("dst_up"), F.lit(False)))
-
-
-LOST = f"""{SUBTREE}, fin AS (SELECT e.edge_id, e.src, e.dst, e.born FROM edge_life e JOIN node_life a ON e.src = a.node_id AND a.died IS NULL JOIN node_life b ON e.dst = b.node_id AND b.died IS NULL WHERE e.died IS NULL),
-    gone AS (SELECT s.root, l.seq, l.kind, l.node_id, l.edge_id FROM sub s JOIN log l ON l.seq = s.node),
-    n_lost AS (SELECT g.root, g.node_id FROM gone g JOIN node_life n ON n.node_id = g.node_id AND n.died IS NULL WHERE g.kind = 'NodeCreated'),
-    e_lost AS (SELECT g.root, f.edge_id FROM gone g JOIN fin f ON f.edge_id = g.edge_id WHERE g.kind = 'EdgeCreated' UNION SELECT n.root, f.edge_id FROM n_lost n JOIN fin f ON f.src = n.node_id OR f.dst = n.node_id),
-    p_lost AS (SELECT g.root, v.node_id, v.key FROM gone g JOIN versions v ON v.seq = g.seq AND v.until_seq IS NULL JOIN node_life n ON n.node_id = v.node_id AND n.died IS NULL WHERE NOT EXISTS (SELECT 1 FROM n_lost x WHERE x.root = g.root AND x.node_id = v.node_id)),
-    impact AS (SELECT s.root, s.n_events, coalesce(n.c, 0) AS nodes, coalesce(e.c, 0) AS edges, coalesce(p.c, 0) AS properties FROM (SELECT root, count(*) AS n_events FROM sub GROUP BY root) s LEFT JOIN (SELECT root, count(*) AS c FROM n_lost GROUP BY root) n ON s.root = n.root
-    LEFT JOIN (SELECT root, count(*) AS c FROM e_lost GROUP BY root) e ON s.root = e.root LEFT JOIN (SELECT root, count(*) AS c FROM p_lost GROUP BY root) p ON s.root = p.root)"""
-
-
-@query(f"{LOST} --- SELECT root, n_events, nodes, edges, properties, nodes * 10 + edges * 5 + properties AS magnitude FROM impact")
+DIFFERENT = f"""{SUBTREE}, gone AS (SELECT s.root, l.seq, l.kind, l.node_id, l.edge_id FROM sub s JOIN log l ON l.seq = s.node),
+    nd AS (SELECT DISTINCT root, node_id FROM gone WHERE kind IN ('NodeCreated', 'NodeUpdated', 'NodeDeleted')),
+    kept AS (SELECT n.root, n.node_id, l.seq, l.kind, l.event_type, l.value FROM nd n JOIN log l ON l.node_id = n.node_id AND l.kind <> 'Signal' LEFT JOIN gone g ON g.root = n.root AND g.seq = l.seq WHERE g.seq IS NULL),
+    cf AS (SELECT n.root, n.node_id, min(CASE WHEN k.kind = 'NodeCreated' THEN k.seq END) AS born, min(CASE WHEN k.kind = 'NodeDeleted' THEN k.seq END) AS died FROM nd n LEFT JOIN kept k ON k.root = n.root AND k.node_id = n.node_id GROUP BY n.root, n.node_id),
+    cv AS (SELECT c.root, c.node_id, max_by(k.event_type, k.seq) AS s, max_by(k.value, k.seq) AS d FROM cf c JOIN kept k ON k.root = c.root AND k.node_id = c.node_id AND k.kind <> 'NodeDeleted' AND (c.died IS NULL OR k.seq < c.died) GROUP BY c.root, c.node_id),
+    av AS (SELECT n.node_id, max_by(l.event_type, l.seq) AS s, max_by(l.value, l.seq) AS d FROM node_life n JOIN log l ON l.node_id = n.node_id AND l.kind IN ('NodeCreated', 'NodeUpdated') AND (n.died IS NULL OR l.seq < n.died) GROUP BY n.node_id),
+    st AS (SELECT c.root, c.node_id, c.born, CASE WHEN c.born IS NOT NULL THEN c.died END AS died, n.died AS a_died, cv.s, cv.d, av.s AS a_s, av.d AS a_d FROM cf c JOIN node_life n ON n.node_id = c.node_id LEFT JOIN cv ON cv.root = c.root AND cv.node_id = c.node_id LEFT JOIN av ON av.node_id = c.node_id),
+    ec AS (SELECT edge_id, src, dst, seq AS made FROM log WHERE kind = 'EdgeCreated'), ed AS (SELECT l.edge_id, l.seq FROM log l JOIN ec ON ec.edge_id = l.edge_id AND l.seq > ec.made WHERE l.kind = 'EdgeDeleted'),
+    cand AS (SELECT root, edge_id FROM gone WHERE kind IN ('EdgeCreated', 'EdgeDeleted') UNION SELECT s.root, e.edge_id FROM st s JOIN ec e ON e.src = s.node_id OR e.dst = s.node_id WHERE s.born IS NULL OR s.died IS DISTINCT FROM s.a_died),
+    es AS (SELECT c.root, e.edge_id, e.made, coalesce(a.died IS NULL AND b.died IS NULL AND a.born < e.made AND b.born < e.made, false) AND NOT EXISTS (SELECT 1 FROM ed WHERE ed.edge_id = e.edge_id) AS real,
+    coalesce(CASE WHEN x.root IS NOT NULL THEN x.born < e.made AND x.died IS NULL ELSE a.born < e.made AND a.died IS NULL END AND CASE WHEN y.root IS NOT NULL THEN y.born < e.made AND y.died IS NULL ELSE b.born < e.made AND b.died IS NULL END, false) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.root = c.root AND g.seq = e.made)
+    AND (SELECT count(*) FROM ed WHERE ed.edge_id = e.edge_id) = (SELECT count(*) FROM ed JOIN gone g ON g.seq = ed.seq AND g.root = c.root WHERE ed.edge_id = e.edge_id) AS other
+    FROM cand c JOIN ec e ON e.edge_id = c.edge_id LEFT JOIN node_life a ON a.node_id = e.src LEFT JOIN node_life b ON b.node_id = e.dst LEFT JOIN st x ON x.root = c.root AND x.node_id = e.src LEFT JOIN st y ON y.root = c.root AND y.node_id = e.dst),
+    diffs AS (SELECT root, CASE WHEN a_died IS NULL THEN 'actual' ELSE 'counterfactual' END AS side, 'node' AS kind, node_id AS id FROM st WHERE (a_died IS NULL) <> (born IS NOT NULL AND died IS NULL) UNION ALL SELECT root, CASE WHEN real THEN 'actual' ELSE 'counterfactual' END, 'edge', edge_id FROM es WHERE real <> other
+    UNION ALL SELECT root, 'changed', 'property', node_id || '/status' FROM st WHERE born IS NOT NULL AND s IS DISTINCT FROM a_s UNION ALL SELECT root, 'changed', 'property', node_id || '/score' FROM st WHERE born IS NOT NULL AND d IS DISTINCT FROM a_d),
+    impact AS (SELECT s.root, s.n_events, coalesce(c.nodes, 0) AS nodes, coalesce(c.edges, 0) AS edges, coalesce(c.properties, 0) AS properties FROM (SELECT root, count(*) AS n_events FROM sub GROUP BY root) s LEFT JOIN (SELECT root, count(*) FILTER (WHERE kind = 'node') AS nodes, count(*) FILTER (WHERE kind = 'edge') AS edges, count(*) FILTER (WHERE kind = 'property') AS properties FROM diffs GROUP BY root) c ON c.root = s.root)"""
+
+
+@query(f"{DIFFERENT} --- SELECT root, n_events, nodes, edges, properties, nodes * 10 + edges * 5 + properties AS magnitude FROM impact")
 def impact_score(m):
-    """What each event caused and what would be missing, or not the same, without it."""
+    """What each event caused, and how the graph would differ without it."""
     sub = subtrees(m)
-    return whatif.impact(sub, whatif.lost(sub, m.log, m.versions, m.node_life, edge_states(m)))
+    return whatif.impact(sub, whatif.differences(sub, m.log))
 
 
-@query(f"{LOST} --- SELECT 'node' AS kind, node_id AS id FROM n_lost WHERE root = 40 UNION ALL SELECT 'edge', edge_id FROM e_lost WHERE root = 40 UNION ALL SELECT 'property', node_id || '/' || key FROM p_lost WHERE root = 40")
+@query(f"{DIFFERENT} --- SELECT root, side, kind, id FROM diffs WHERE root % 10 = 3 OR side = 'counterfactual'")
 def diff_projections(m):
-    """The real graph against the one without an event."""
-    sub = subtrees(m, m.log.filter("seq = 40"))
-    return whatif.lost(sub, m.log, m.versions, m.node_life, edge_states(m)).select("kind", "id")
+    """The real graph against those without some events: what only one of them has, and what differs; of the events whose
+    number ends in 3, and wherever something appears."""
+    return whatif.differences(subtrees(m), m.log).filter("root % 10 = 3 or side = 'counterfactual'").select("root", "side", "kind", "id")
 
 
-@query(f"""{SUBTREE} --- SELECT removed, skipped, replayed, removed / CAST(removed + skipped + replayed AS DOUBLE) AS fraction FROM (SELECT (SELECT count(DISTINCT node) FROM sub WHERE root IN (SELECT seq FROM log WHERE user_id = 7)) AS removed,
-    (SELECT count(*) FROM log WHERE seq NOT IN (SELECT node FROM sub WHERE root IN (SELECT seq FROM log WHERE user_id = 7)) AND kind <> 'Signal' AND seq NOT IN (SELECT seq FROM applied)) AS skipped,
-    (SELECT count(*) FROM log WHERE seq NOT IN (SELECT node FROM sub WHERE root IN (SELECT seq FROM log WHERE user_id = 7)) AND (kind = 'Signal' OR seq IN (SELECT seq FROM applied))) AS replayed) x""")
+@query(f"""{SUBTREE}, out AS (SELECT DISTINCT node AS seq FROM sub WHERE root IN (SELECT seq FROM log WHERE user_id = 7)), kl AS (SELECT * FROM log WHERE seq NOT IN (SELECT seq FROM out)),
+    kn AS (SELECT node_id, min(CASE WHEN kind = 'NodeCreated' THEN seq END) AS born, min(CASE WHEN kind = 'NodeDeleted' THEN seq END) AS died FROM kl WHERE node_id IS NOT NULL GROUP BY node_id),
+    km AS (SELECT l.edge_id, l.seq FROM kl l JOIN kn s ON s.node_id = l.src AND s.born < l.seq AND (s.died IS NULL OR s.died > l.seq) JOIN kn d ON d.node_id = l.dst AND d.born < l.seq AND (d.died IS NULL OR d.died > l.seq) WHERE l.kind = 'EdgeCreated'),
+    ok AS (SELECT l.seq FROM kl l JOIN kn n ON n.node_id = l.node_id AND n.born IS NOT NULL WHERE l.kind = 'NodeDeleted' OR (l.kind IN ('NodeCreated', 'NodeUpdated') AND (n.died IS NULL OR n.died > l.seq)) UNION ALL SELECT seq FROM km UNION ALL SELECT l.seq FROM kl l WHERE l.kind = 'EdgeDeleted' AND l.edge_id IN (SELECT edge_id FROM km))
+    --- SELECT removed, skipped, replayed, removed / CAST(removed + skipped + replayed AS DOUBLE) AS fraction FROM (SELECT (SELECT count(*) FROM out) AS removed, (SELECT count(*) FROM kl WHERE kind <> 'Signal' AND seq NOT IN (SELECT seq FROM ok)) AS skipped, (SELECT count(*) FROM kl WHERE kind = 'Signal' OR seq IN (SELECT seq FROM ok)) AS replayed) x""")
 def counterfactual_filter(m):
-    """The log without a user's events and what they caused: removed, skipped (rejected) and replayed events."""
+    """The log without a user's events and what they caused: removed events, and those that its replay skips or applies."""
     gone = subtrees(m, m.log.filter("user_id = 7")).select(F.col("node").alias("seq")).distinct()
     kept = m.log.join(gone, "seq", "left_anti")
-    ok = m.applied.select("seq").withColumn("ok", F.lit(True))
+    ok = whatif.applied(kept).withColumn("ok", F.lit(True))
     replayed = kept.join(ok, "seq", "left").select((F.col("ok").isNull() & (F.col("kind") != "Signal")).alias("rejected"))
     return whatif.removal_fraction(gone, replayed)
 
