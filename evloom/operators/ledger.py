@@ -1,7 +1,15 @@
-"""The commit ledger: hash chains, their verification, compaction, snapshots and recovery."""
+"""The commit ledger: hash chains, their verification, compaction, snapshots and recovery.
+
+A ledger is chained in blocks of ``BLOCK`` sequences. A commit's hash covers the hash before it and its own content; the
+first of a block takes the block's anchor for the hash before, which covers the contents of all blocks before. So blocks
+are chained side by side, only the anchors follow each other, and each commit can be checked by itself.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,31 +25,87 @@ def content_hashed(batches: DataFrame) -> DataFrame:
     return batches.withColumn("content_hash", digest("sequence", "first_seq", "last_seq", "n_events", "idempotency_key", "material"))
 
 
-def commit(batches: DataFrame, key: str | None = None) -> DataFrame:
-    """sequence, previous_hash, commit_hash (and key): each hash covers the one before, so a chain is one ordered fold;
-    chains of different keys run side by side. Only 64-byte hashes travel, not the events."""
-    rows = content_hashed(batches)
-    keys = [key] if key else []
-    chain = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sequence", "content_hash"))).alias("s"))
-    start = F.struct(F.lit("").alias("h"), F.array().cast("array<struct<sequence:bigint,previous_hash:string,commit_hash:string>>").alias("out"))
+BLOCK = 1024
+
+
+def _sha(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _block(size: int):
+    return F.floor((F.col("sequence") - 1) / size).cast("long")
+
+
+def anchors(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """block, anchor of each block of rows (sequence, content_hash): a fold over one digest a block."""
+    ordered = F.sort_array(F.collect_list(F.struct("sequence", "content_hash")))
+    digests = rows.groupBy(_block(block).alias("block")).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["content_hash"]), ""), 256).alias("digest"))
 
-    def step(a, x):
-        h = F.sha2(F.concat(a["h"], x["content_hash"]), 256)
-        return F.struct(h.alias("h"), F.concat(a["out"], F.array(F.struct(x["sequence"].alias("sequence"), a["h"].alias("previous_hash"), h.alias("commit_hash")))).alias("out"))
+    def fold(table: pa.Table) -> pa.Table:
+        table, at, out = table.sort_by("block"), "", []
+        for digest in table.column("digest").to_pylist():
+            out.append(at)
+            at = _sha(at, digest)
+        return pa.table({"block": table.column("block"), "anchor": pa.array(out, pa.string())})
 
-    return chain.select(*keys, F.inline(F.aggregate("s", start, step)["out"]))
+    return digests.groupBy(F.lit(0).alias("all")).applyInArrow(fold, "block long, anchor string")
 
 
-def verify(commits: DataFrame) -> DataFrame:
-    """sequence, error of each commit that breaks the chain (sequence, previous_hash, commit_hash, content_hash)."""
-    w = Window.orderBy("sequence")
-    before, at = F.lag("commit_hash", 1, "").over(w), F.row_number().over(w)
+def commit(batches: DataFrame, block: int = BLOCK) -> DataFrame:
+    """sequence, previous_hash, commit_hash. Only 64-byte hashes travel, not the events."""
+    rows = content_hashed(batches).select("sequence", "content_hash")
+
+    def chain(table: pa.Table) -> pa.Table:
+        table, before, out = table.sort_by("sequence"), [], []
+        at = table.column("anchor")[0].as_py()
+        for content in table.column("content_hash").to_pylist():
+            before.append(at)
+            at = _sha(at, content)
+            out.append(at)
+        return pa.table({"sequence": table.column("sequence"), "previous_hash": pa.array(before, pa.string()), "commit_hash": pa.array(out, pa.string())})
+
+    placed = rows.withColumn("block", _block(block)).join(anchors(rows, block), "block")
+    return placed.groupBy("block").applyInArrow(chain, "sequence long, previous_hash string, commit_hash string")
+
+
+def verify(commits: DataFrame, block: int = BLOCK) -> DataFrame:
+    """sequence, error of each commit (the batch's columns, previous_hash, commit_hash) that breaks the chain. Contents are
+    hashed again; the commit before is found by a join on its number, so nothing is sorted as a whole.
+
+    A status that isn't Committed, or an id that an earlier commit had, is an error too, where the columns are there."""
+    rows = content_hashed(commits)
+    before = rows.select((F.col("sequence") + 1).alias("sequence"), F.col("commit_hash").alias("hash_before"))
+    rows = rows.withColumn("block", _block(block)).join(before, "sequence", "left").join(anchors(rows.select("sequence", "content_hash"), block), "block", "left")
+    first = (F.col("sequence") - 1) % block == 0
+    expected = F.when(first, F.col("anchor")).otherwise(F.col("hash_before"))
+    error = (
+        F.when((F.col("sequence") != 1) & F.col("hash_before").isNull(), "sequence").when(~F.col("previous_hash").eqNullSafe(expected), "previous_hash")
+        .when(F.col("commit_hash") != F.sha2(F.concat("previous_hash", "content_hash"), 256), "commit_hash")
+    )
+    if "status" in commits.columns:
+        error = error.when(F.col("status") != "Committed", "status")
+    if "idempotency_key" in commits.columns:
+        seen = commits.groupBy("idempotency_key").agg(F.min("sequence").alias("first"))
+        rows = rows.join(seen, "idempotency_key", "left")
+        error = error.when(F.col("sequence") > F.col("first"), "idempotency_key")
+    return rows.withColumn("error", error).filter("error is not null").select("sequence", "error")
+
+
+def acceptable(arriving: DataFrame, head: tuple[int, str], known_keys: DataFrame) -> DataFrame:
+    """sequence, error (null: may be applied) of batches that a replica is sent (the batch's columns, status,
+    previous_hash, commit_hash), after ``head`` (sequence and hash of what it has). ``known_keys``: idempotency_key.
+
+    The first must follow the head and each other the one before; what is wrong in one doesn't excuse the next."""
+    rows = content_hashed(arriving)
+    before = arriving.select((F.col("sequence") + 1).alias("sequence"), F.col("commit_hash").alias("hash_before"))
+    rows = rows.join(before, "sequence", "left").withColumn("hash_before", F.when(F.col("sequence") == head[0] + 1, head[1]).otherwise(F.col("hash_before")))
+    rows = rows.join(known_keys.select("idempotency_key").distinct().withColumn("known", F.lit(True)), "idempotency_key", "left")
     error = (
-        F.when(F.col("sequence") != at, "sequence").when(F.col("previous_hash") != before, "previous_hash")
+        F.when((F.col("sequence") <= head[0]) | F.col("hash_before").isNull(), "sequence").when(F.col("status") != "Committed", "status")
+        .when(~F.col("previous_hash").eqNullSafe(F.col("hash_before")), "previous_hash").when(F.col("known"), "idempotency_key")
         .when(F.col("commit_hash") != F.sha2(F.concat("previous_hash", "content_hash"), 256), "commit_hash")
     )
-    slim = commits.select("sequence", "previous_hash", "commit_hash", "content_hash")
-    return slim.withColumn("error", error).filter("error is not null").select("sequence", "error")
+    return rows.select("sequence", error.alias("error"))
 
 
 def duplicates(commits: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,10 +123,14 @@ def idempotent(batches: DataFrame) -> DataFrame:
     return batches.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
 
 
-def gaps(commits: DataFrame) -> DataFrame:
-    """after, missing: where sequences are skipped in a stream of commits."""
-    w = Window.orderBy("sequence")
-    rows = commits.select("sequence", F.lag("sequence").over(w).alias("after"))
+def gaps(commits: DataFrame, block: int = BLOCK) -> DataFrame:
+    """after, missing: where sequences are skipped in a stream of commits. Repeats are no gaps. Each block looks at its
+    own neighbours; its first commit follows the last of the block before, which a fold over one row a block finds."""
+    rows = commits.select("sequence").distinct().withColumn("block", _block(block))
+    ends = rows.groupBy("block").agg(F.max("sequence").alias("last"))
+    ends = ends.select("block", F.lag("last").over(Window.orderBy("block")).alias("last_before"))
+    own = F.lag("sequence").over(Window.partitionBy("block").orderBy("sequence"))
+    rows = rows.withColumn("own", own).join(ends, "block").select("sequence", F.coalesce("own", "last_before").alias("after"))
     return rows.filter(F.col("sequence") > F.col("after") + 1).select("after", (F.col("sequence") - F.col("after") - 1).alias("missing"))
 
 

@@ -24,12 +24,13 @@ def folder(m, name: str) -> str:
 
 # --- ledger --------------------------------------------------------------------------------------------------------
 
-CHAIN = """con AS (SELECT *, sha256(concat_ws('|', sequence, first_seq, last_seq, n_events, idempotency_key, material)) AS content_hash FROM batches),
-    chain AS (SELECT sequence, '' AS previous_hash, sha256(content_hash) AS commit_hash, content_hash FROM con WHERE sequence = 1 UNION ALL SELECT n.sequence, c.commit_hash, sha256(c.commit_hash || n.content_hash), n.content_hash FROM chain c JOIN con n ON n.sequence = c.sequence + 1)"""
+CHAIN = f"""con AS (SELECT *, sha256(concat_ws('|', sequence, first_seq, last_seq, n_events, idempotency_key, material)) AS content_hash, CAST(floor((sequence - 1) / {L.BLOCK}) AS BIGINT) AS block FROM batches),
+    dig AS (SELECT block, sha256(string_agg(content_hash, '' ORDER BY sequence)) AS digest FROM con GROUP BY block), anc AS (SELECT CAST(0 AS BIGINT) AS block, '' AS anchor UNION ALL SELECT a.block + 1, sha256(a.anchor || d.digest) FROM anc a JOIN dig d ON d.block = a.block),
+    chain AS (SELECT c.sequence, a.anchor AS previous_hash, sha256(a.anchor || c.content_hash) AS commit_hash FROM con c JOIN anc a ON a.block = c.block WHERE (c.sequence - 1) % {L.BLOCK} = 0 UNION ALL SELECT n.sequence, c.commit_hash, sha256(c.commit_hash || n.content_hash) FROM chain c JOIN con n ON n.sequence = c.sequence + 1 AND (n.sequence - 1) % {L.BLOCK} <> 0)"""
 
 
 def committed(m):
-    return L.content_hashed(m.batches).join(L.commit(m.batches), "sequence")
+    return m.batches.join(L.commit(m.batches), "sequence")
 
 
 @query(f"{CHAIN} --- SELECT sequence, previous_hash, commit_hash FROM chain")
@@ -37,28 +38,43 @@ def commit_events(m):
     return L.commit(m.batches)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS sequence, '' AS error WHERE false")
+@query(f"{CHAIN} --- SELECT count(*) AS commits, count(*) FILTER (WHERE x.commit_hash <> sha256(x.previous_hash || c.content_hash)) AS errors FROM chain x JOIN con c ON c.sequence = x.sequence")
 def commit_verify(m):
-    """A sound chain has no errors."""
-    return L.verify(committed(m))
+    """Commits, and how many break the chain: none of a sound one."""
+    rows = committed(m)
+    return rows.select("sequence").join(L.verify(rows), "sequence", "left").agg(row_count().alias("commits"), F.count("error").alias("errors"))
 
 
-@query("SELECT CAST(3 AS BIGINT) AS sequence, 'commit_hash' AS error")
+@query(f"""{CHAIN}, bad AS (SELECT x.sequence, x.previous_hash, x.commit_hash, sha256(concat_ws('|', c.sequence, c.first_seq, c.last_seq, CASE WHEN c.sequence % 4 = 3 THEN c.n_events + 1 ELSE c.n_events END, c.idempotency_key, c.material)) AS content_hash FROM chain x JOIN con c ON c.sequence = x.sequence)
+    --- SELECT sequence, 'commit_hash' AS error FROM bad WHERE commit_hash <> sha256(previous_hash || content_hash)""")
 def commit_verify_tampered(m):
-    """A changed batch shows in its own hash."""
-    return L.verify(committed(m).withColumn("content_hash", F.when(F.col("sequence") == 3, "x").otherwise(F.col("content_hash"))))
+    """Batches that were changed after they were committed show in their own hashes."""
+    changed = F.when(F.col("sequence") % 4 == 3, F.col("n_events") + 1).otherwise(F.col("n_events"))
+    return L.verify(committed(m).withColumn("n_events", changed))
 
 
-@query("SELECT CAST(3 AS BIGINT) AS \"after\", CAST(1 AS BIGINT) AS missing")
+@query("""SELECT before AS "after", sequence - before - 1 AS missing FROM (SELECT sequence, lag(sequence) OVER (ORDER BY sequence) AS before FROM batches WHERE sequence % 5 NOT IN (2, 3)) x WHERE sequence > before + 1""")
 def commit_gaps(m):
-    """Where a stream of commits skips a sequence."""
-    return L.gaps(m.batches.filter("sequence != 4"))
+    """Where a stream of commits skips sequences; repeats don't count."""
+    sent = m.batches.filter("sequence % 5 not in (2, 3)")
+    return L.gaps(sent.unionByName(sent))
 
 
-@query("SELECT CAST('' AS STRING) AS \"column\", CAST('' AS STRING) AS value, CAST(0 AS BIGINT) AS n WHERE false")
+@query("""WITH_S --- SELECT "column", value, count(*) AS n FROM (SELECT 'sequence' AS "column", CAST(sequence AS STRING) AS value FROM sent UNION ALL SELECT 'idempotency_key', idempotency_key FROM sent) x GROUP BY "column", value HAVING count(*) > 1""".replace("WITH_S", "sent AS (SELECT sequence, idempotency_key FROM batches UNION ALL SELECT sequence, idempotency_key FROM batches WHERE sequence % 6 = 1 UNION ALL SELECT sequence + 1000000, idempotency_key FROM batches WHERE sequence % 9 = 2)"))
 def commit_load(m):
-    """Duplicate sequences and keys of a log that is to be loaded."""
-    return L.duplicates(m.batches, ["sequence", "idempotency_key"])
+    """Duplicate sequences and keys of a log that is to be loaded: some batches are there twice, some under another number."""
+    again = m.batches.filter("sequence % 6 = 1").unionByName(m.batches.filter("sequence % 9 = 2").withColumn("sequence", F.col("sequence") + 1_000_000))
+    return L.duplicates(m.batches.unionByName(again), ["sequence", "idempotency_key"])
+
+
+@query(f"""{CHAIN} --- SELECT sequence, CASE WHEN sequence <= 3 OR sequence - 1 IN (6) THEN 'sequence' WHEN sequence % 8 = 4 THEN 'status' WHEN sequence % 7 = 5 THEN 'idempotency_key' END AS error FROM chain WHERE sequence >= 2 AND sequence <> 6 AND sequence <= {L.BLOCK}""")
+def replication_apply(m):
+    """What a replica that has three commits says to those that it is sent: from the second on, without the sixth, some not
+    committed, some with keys that it knows."""
+    rows = committed(m).filter(f"sequence <= {L.BLOCK}")  # one block: a replica's page
+    head = rows.filter("sequence = 3").select("sequence", "commit_hash").first()
+    sent = rows.filter("sequence >= 2 and sequence != 6").withColumn("status", F.when(F.col("sequence") % 8 == 4, "Pending").otherwise("Committed"))
+    return L.acceptable(sent, (head["sequence"], head["commit_hash"]), sent.filter("sequence % 7 = 5 and sequence > 3"))
 
 
 @query("SELECT sequence, idempotency_key FROM batches")
