@@ -200,13 +200,13 @@ def trail_records(m):
 
 @query("""rec AS (SELECT DISTINCT seq - CASE WHEN seq % 30 = 6 THEN 6 ELSE 0 END AS id FROM log), one AS (SELECT r.id, r.id % 6 AS k, l.user_id FROM rec r JOIN log l ON l.seq = r.id)
     --- SELECT CAST(id AS STRING) AS eventID, CASE k WHEN 2 THEN 'read_only' WHEN 3 THEN 'error' WHEN 4 THEN 'unrecognised' ELSE 'signal' END AS outcome, CASE k WHEN 0 THEN 'discovered' WHEN 1 THEN 'deleted' WHEN 5 THEN 'discovered' END AS signal,
-    CASE WHEN k IN (0, 1) THEN 's3' WHEN k = 5 THEN 'ec2' END AS resource_type, CASE WHEN k = 5 THEN 'i-' || CAST(id AS STRING) || '-' || CAST(i AS STRING) END AS resource_id FROM one, range(1, 4) r(i) WHERE k = 5 AND i <= user_id % 3 + 1
-    UNION ALL SELECT CAST(id AS STRING), CASE k WHEN 2 THEN 'read_only' WHEN 3 THEN 'error' WHEN 4 THEN 'unrecognised' ELSE 'signal' END, CASE k WHEN 0 THEN 'discovered' WHEN 1 THEN 'deleted' END, CASE WHEN k IN (0, 1) THEN 's3' END, NULL FROM one WHERE k <> 5 AND k > 1
-    UNION ALL SELECT CAST(id AS STRING), 'signal', CASE k WHEN 0 THEN 'discovered' ELSE 'deleted' END, 's3', 'b' || CAST(user_id AS STRING) FROM one WHERE k <= 1""")
+    CASE WHEN k IN (0, 1) THEN 'object_store' WHEN k = 5 THEN 'compute_instance' END AS resource_type, CASE WHEN k = 5 THEN 'i-' || CAST(id AS STRING) || '-' || CAST(i AS STRING) END AS resource_id FROM one, range(1, 4) r(i) WHERE k = 5 AND i <= user_id % 3 + 1
+    UNION ALL SELECT CAST(id AS STRING), CASE k WHEN 2 THEN 'read_only' WHEN 3 THEN 'error' WHEN 4 THEN 'unrecognised' ELSE 'signal' END, CASE k WHEN 0 THEN 'discovered' WHEN 1 THEN 'deleted' END, CASE WHEN k IN (0, 1) THEN 'object_store' END, NULL FROM one WHERE k <> 5 AND k > 1
+    UNION ALL SELECT CAST(id AS STRING), 'signal', CASE k WHEN 0 THEN 'discovered' ELSE 'deleted' END, 'object_store', 'b' || CAST(user_id AS STRING) FROM one WHERE k <= 1""")
 def src_cloudtrail(m):
     rows = trail.records(trail_records(m))
     # a repeated id carries the record of the event whose id it repeats, so which of the two stays is the same
-    return trail.parse(rows)
+    return trail.parse(rows).drop("target", "confidence")
 
 
 # --- identities, trust, correlation ----------------------------------------------------------------------------------
