@@ -12,7 +12,10 @@ the passage in shingles of five words.
 Items are indexed in shards of bounded size (``items_per_shard``, ``bytes_per_shard``), each broadcast in its turn. Document
 frequencies, number of items, mean and longest length are those of all items (``Corpus``), however many shards there are.
 
-Null or empty texts of documents or items match nothing. Repeated rows count once. A null doc_id is reported as null.
+Null or empty texts of documents or items match nothing. Repeated rows count once; among passages of one score the one
+of larger overlaps, then of later place, is shown. A null doc_id is reported as null. A text of any length is cut in
+passages. No documents or no items give no rows. Columns of other names don't matter: ``contaminated`` leaves them
+behind, ``without_leaks`` passes all through.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from .scratch import keep
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 BLOCK = 2
+SLACK = 1 + 1e-9  # for sums in another order
 SHINGLE = 5
+OVERLAP = 0.5  # of an item's question, and of its answer, that a passage must have
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -66,7 +71,9 @@ class Index:
     item: np.ndarray
     impact: np.ndarray
     most: np.ndarray  # largest impact of each term
-    ranges: np.ndarray  # terms x ranges of BLOCK items: largest impact there
+    range_start: np.ndarray  # of each term's ranges of BLOCK items
+    range_at: np.ndarray
+    range_most: np.ndarray  # largest impact there
     question: list[np.ndarray]
     answer: list[np.ndarray]
     words: list[int]
@@ -92,10 +99,13 @@ class Index:
         impact /= np.bincount(item, impact, minlength=len(n))[item]
         most = np.zeros(len(vocab))
         np.maximum.at(most, t, impact)
-        ranges = np.zeros((len(vocab), -(-len(n) // BLOCK)), np.float32)
-        np.maximum.at(ranges, (t, item // BLOCK), impact.astype(np.float32) * np.float32(1 + 1e-6))
+        blocks = max(1, -(-len(n) // BLOCK))
+        key = t * blocks + item // BLOCK  # ascending, as the postings are
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        range_most = np.maximum.reduceat(impact, first) if len(key) else impact
+        range_start = np.searchsorted(key[first] // blocks, np.arange(len(vocab) + 1))
         cuts = [(row[i], row[i] + n[i] * 3 // 4, row[i + 1]) for i in order]
-        return cls([ids[i] for i in order], vocab, np.searchsorted(t, np.arange(len(vocab) + 1)), item, impact, most, ranges, [_shingles(h[a:b]) for a, b, _ in cuts], [_shingles(h[b:c]) for _, b, c in cuts], length.tolist(), corpus.longest)
+        return cls([ids[i] for i in order], vocab, np.searchsorted(t, np.arange(len(vocab) + 1)), item, impact, most, range_start, key[first] % blocks, range_most, [_shingles(h[a:b]) for a, b, _ in cuts], [_shingles(h[b:c]) for _, b, c in cuts], length.tolist(), corpus.longest)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term numbers of hashes, -1 for terms of no item."""
@@ -104,6 +114,17 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         return np.where(self.vocab[at] == h, at, -1)
 
+    def range_bound(self, term: int, block: int) -> float:
+        s, e = self.range_start[term], self.range_start[term + 1]
+        at = s + int(np.searchsorted(self.range_at[s:e], block))
+        return float(self.range_most[at]) if at < e and self.range_at[at] == block else 0.0
+
+    def range_bounds(self, terms: np.ndarray) -> float:
+        """The largest sum of the terms' bounds in any range."""
+        s, n = self.range_start[terms], self.range_start[terms + 1] - self.range_start[terms]
+        at = np.repeat(s - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        return float(np.bincount(self.range_at[at], self.range_most[at]).max(initial=0.0))
+
     def search(self, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all items that score ``threshold`` or more against the terms ``query``."""
         lists = [[int(self.item[self.start[t]]), int(self.start[t]), int(self.start[t + 1]), float(self.most[t]), int(t)] for t in query]
@@ -122,7 +143,7 @@ class Index:
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == target:
                 pivot += 1
             block = target // BLOCK
-            if sum(float(self.ranges[x[4], block]) for x in lists[: pivot + 1]) >= threshold:
+            if sum(self.range_bound(x[4], block) for x in lists[: pivot + 1]) * SLACK >= threshold:
                 if lists[0][0] == target:
                     score = sum(float(self.impact[x[1]]) for x in lists[: pivot + 1])
                     if score >= threshold:
@@ -163,7 +184,7 @@ class Index:
         last = np.append(first[1:], len(key))
         for i in np.flatnonzero(total >= THRESHOLD).tolist():
             mine = t[first[i] : last[i]]
-            if self.ranges[mine].sum(axis=0).max(initial=0) >= THRESHOLD:
+            if self.range_bounds(mine) * SLACK >= THRESHOLD:
                 p = int(passage[first[i]])
                 d = int(np.searchsorted(base, p, "right")) - 1
                 s = int(row[d]) + (p - int(base[d])) * stride
@@ -186,7 +207,7 @@ def leaks(column: pa.Array, index: Index) -> Iterator[tuple[int, int, float, flo
             words = index.words[item]
             q = overlap(index.question[item], h[s:e], words * 3 // 4)
             a = overlap(index.answer[item], h[s:e], words - words * 3 // 4)
-            if q >= 0.8 or q >= 0.5 and a >= 0.5:
+            if q >= OVERLAP and a >= OVERLAP:
                 yield d, index.ids[item], score, q, a, s - int(row[d])
 
 

@@ -10,7 +10,9 @@ by ``per_lang`` documents a language, taken by a hash of doc_id; nothing else is
 
 Null text, or a text without a letter: ``und``, score 0. A text none of whose n-grams is known: the language with the
 most learned documents, score 1 / languages. Rows with null lang or doc_id are not learned from. No language to learn:
-``und`` for all.
+``und`` for all. Ties go to the language with more documents, then by name. Repeated rows are learned as often as they are
+there, and predicted each. A text of any length is counted whole; no rows give no rows. Other columns are left behind.
+N-grams seen once in a language's sample are left out of its filter: a parameter of the index, not of the texts.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Runs are looked at where the whole text holds enough of the template's words, fr
 Besides, the phrases of ``PHRASES`` are found wherever their words stand consecutively.
 
 Null or empty text: no words, no labels, score 0. Rows are scanned each for itself, so repeats and null doc_ids get
-their own result.
+their own result. A text of any length is scanned whole. Ties among templates give each its label. No rows give no rows.
+Only doc_id and text are read, so columns of other names don't clash.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ At a likeness of 0.85, 24 bands of 5 miss a pair with a probability under 1e-6.
 
 Null or empty text: the empty set, linked with nothing. Null doc_id: each different text is a document after all
 others (doc_ids below 2**62); its component_id is null if it reaches no doc_id. Rows of one doc_id are one node, so
-their links count together.
+their links count together. A text of any length is one set. Ties among equal sets go to the smaller doc_id. No rows
+give no rows. Columns of other names are left behind, or pass through whole (``first_of_each``).
 """
 
 from __future__ import annotations

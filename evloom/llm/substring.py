@@ -10,7 +10,10 @@ joins then glue pieces at nodes with one way in and one way out into long paths,
 each long span: every piece of it lies as far from the span's start as it does in the source.
 
 Null text: no words. Null doc_id: after all others, and rows of null doc_id count as one document. Rows that repeat a
-document get the same result.
+document get the same result; of rows of one doc_id with different texts (ties) none counts as earlier. A text of any
+length is cut in runs of windows. No rows give no rows. Columns of any name pass through.
+
+Which words go is settled edge by edge, before pieces are glued; the long paths give the spans and their sources.
 """
 
 from __future__ import annotations

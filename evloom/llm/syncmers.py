@@ -12,7 +12,8 @@ shows the ``SIZE`` least hashes of the distinct anchors; no likeness is taken fr
 
 Null text: empty. The next document is that of the next larger
 doc_id (rows of one doc_id follow each other by text); rows with null doc_id have no place in that order: they are
-edited with, and compared to, the empty text.
+edited with, and compared to, the empty text. A text of any length keeps all its anchors. No rows give no rows. Only doc_id
+and text are read, so columns of other names don't clash.
 """
 
 from __future__ import annotations
