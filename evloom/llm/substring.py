@@ -4,16 +4,15 @@ Each word goes that is covered by a window of ``width`` words whose word sequenc
 doc_id. Windows are judged on the input.
 
 A window is an edge of the graph from its first ``width - 1`` words to its last. Windows that share a minimiser come in
-runs (``superkmers``), which are nonbranching paths; runs of equal content settle by their coordinates. The rest are
-compared edge by edge in shards, which compact neighbouring repeated edges of one earliest source into pieces. Spark
-joins then glue pieces at nodes with one way in and one way out into long paths, and coordinates in the source verify
-each long span: every piece of it lies as far from the span's start as it does in the source.
+runs (``superkmers``). A run of the content of an earlier document's run is a piece of the graph named by the place
+there; the other runs of a shared minimiser are compared edge by edge in shards, which compact neighbouring repeated
+edges of one earliest source into pieces. Spark joins then glue pieces, at nodes with one way in and one way out, into
+long paths. A path's occurrences are spans, and each span is verified: the digest of its words must be that of the words
+at its coordinates in the source. The words of verified spans go, and no others.
 
 Null text: no words. Null doc_id: after all others, and rows of null doc_id count as one document. Rows that repeat a
 document get the same result; of rows of one doc_id with different texts (ties) none counts as earlier. A text of any
 length is cut in runs of windows. No rows give no rows. Columns of any name pass through.
-
-Which words go is settled edge by edge, before pieces are glued; the long paths give the spans and their sources.
 """
 
 from __future__ import annotations
@@ -31,8 +30,11 @@ from . import arrays as A
 from . import superkmers as S
 from .scratch import keep
 
-_PIECE = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("head", pa.int64()), ("tail", pa.int64()), ("src", pa.int64()), ("src_th", pa.int64()), ("src_s", pa.int32())])
-PIECE = "did long, th long, s int, n int, head long, tail long, src long, src_th long, src_s int"
+#: A piece: where it occurs (null in rows that only describe a source's piece), its windows, its first and last node, the
+#: word that leads into the last and the word that leads out of the first, its source (null in rows of single edges of
+#: a split minimiser, whose source is found later by ``edge``).
+PIECE = "did long, th long, s int, n int, head long, tail long, last long, next long, src long, src_th long, src_s int, edge long"
+_PIECE = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in PIECE.split(", "))])
 
 
 def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,16 +42,38 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, row
 
 
-def _edges(table: pa.Table, width: int) -> pa.Table:
-    """Repeated edges of one shard, compacted: a row for each occurrence of a piece, with its earliest source."""
+def _rows(columns: dict[str, np.ndarray]) -> pa.Table:
+    n = len(columns["n"])
+    return pa.table([pa.array(columns[f.name].astype(f.type.to_pandas_dtype())) if f.name in columns else pa.nulls(n, f.type) for f in _PIECE], schema=_PIECE)
+
+
+def _ends(sym: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """Nodes and neighbouring words of pieces of ``n`` windows that start at the symbols ``at``."""
+    node = A.grams(sym, width - 1)
+    return {"n": n, "head": node[at].view(np.int64), "tail": node[at + n].view(np.int64), "last": sym[at + n - 1].view(np.int64), "next": sym[at + width - 1].view(np.int64)}
+
+
+def _shard(table: pa.Table, width: int) -> pa.Table:
+    """The pieces of one shard: of sources' runs (``sub`` -1) their ends, of a split minimiser's runs their edges, of the
+    others the repeated edges, compacted, a row for each occurrence with its earliest source."""
     data, off = A.texts(table.column("body").combine_chunks())
-    sym, off = data.view(A.U) if len(data) else np.zeros(0, A.U), off // 8
-    did, th, s, n, a = (A.longs(table.column(c)) for c in ("did", "th", "s", "n", "a"))
-    run = np.repeat(np.arange(len(n)), n)
-    t = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    sym, off = data.view(A.U) if len(data) else np.zeros(0, A.U), off[:-1] // 8
+    did, th, s, n, a, sub = (A.longs(table.column(c)) for c in ("did", "th", "s", "n", "a", "sub"))
+    hot = table.column("hot").to_numpy()
+    if not len(n):
+        return _PIECE.empty_table()
+    edges = A.grams(sym, width)
+    i = np.flatnonzero(sub < 0)
+    out = [_rows({"src": did[i], "src_th": th[i], "src_s": s[i], **_ends(sym, off[i], n[i], width)})]
+    i = np.flatnonzero(hot)
+    run = np.repeat(i, n[i])
+    t = np.arange(len(run)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
     at = off[run] + t
-    edge = A.grams(sym, width)[at]
-    bucket = a[run]
+    out.append(_rows({"did": did[run], "th": th[run], "s": s[run] + t, "edge": edges[at].view(np.int64), **_ends(sym, at, np.ones(len(at), np.int64), width)}))
+    i = np.flatnonzero(~hot & (sub >= 0))
+    run = np.repeat(i, n[i])
+    t = np.arange(len(run)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+    edge, bucket = edges[off[run] + t], a[run]
     order = np.lexsort((s[run] + t, th[run], did[run], edge, bucket))
     e, b, r, t = edge[order], bucket[order], run[order], t[order]
     new = np.ones(len(e), bool)
@@ -63,20 +87,18 @@ def _edges(table: pa.Table, width: int) -> pa.Table:
     new = np.ones(len(r), bool)
     new[1:] = (np.diff(r) != 0) | (np.diff(t) != 1) | (np.diff(src) != 0) | (np.diff(src_th) != 0) | (np.diff(src_s) != 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(r))[: len(first)] - 1
-    node = A.grams(sym, width - 1)
+    m = np.diff(np.append(first, len(r)))
     r, t = r[first], t[first]
-    m = last - first + 1
-    cols = (did[r], th[r], (s[r] + t).astype(np.int32), m.astype(np.int32), node[off[r] + t].view(np.int64), node[off[r] + t + m].view(np.int64), src[first], src_th[first], src_s[first].astype(np.int32))
-    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _PIECE, strict=True)], schema=_PIECE)
+    out.append(_rows({"did": did[r], "th": th[r], "s": s[r] + t, "src": src[first], "src_th": src_th[first], "src_s": src_s[first], **_ends(sym, off[r] + t, m, width)}))
+    return pa.concat_tables(out)
 
 
 def compact(pieces: DataFrame) -> DataFrame:
-    """The pieces (one row for each different one) with ``path``, the source start of the nonbranching path each is in."""
-    each = pieces.groupBy("src", "src_th", "src_s", "n").agg(F.first("head").alias("head"), F.first("tail").alias("tail"))
-    ways_in = each.groupBy(F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
-    ways_out = each.groupBy(F.col("head").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
-    plain = ways_in.join(ways_out, "node").filter("n_in = 1 and n_out = 1").select(F.col("node").alias("head"))
+    """The pieces (one row for each different one) with ``path``, the number of the nonbranching path each is in."""
+    each = pieces.groupBy("src", "src_th", "src_s", "n").agg(*(F.first(c).alias(c) for c in ("head", "tail", "last", "next")))
+    one_in = each.groupBy(F.col("tail").alias("node")).agg((F.min("last") == F.max("last")).alias("one_in"))
+    one_out = each.groupBy(F.col("head").alias("node")).agg((F.min("next") == F.max("next")).alias("one_out"))
+    plain = one_in.join(one_out, "node").filter("one_in and one_out").select(F.col("node").alias("head"))
     each = each.join(plain.withColumn("glued", F.lit(True)), "head", "left")
     along = Window.partitionBy("src", "src_th").orderBy("src_s", "n")
     before = F.lag(F.col("src_s") + F.col("n")).over(along)
@@ -85,13 +107,44 @@ def compact(pieces: DataFrame) -> DataFrame:
     return each.select("src", "src_th", "src_s", "n", "path")
 
 
+def _sourced(edges: DataFrame) -> DataFrame:
+    """Single edges of split minimisers with their earliest source; those that have none go."""
+    first = edges.groupBy("edge").agg(F.min(F.struct("did", "th", "s")).alias("first"))
+    both = edges.drop("src", "src_th", "src_s").join(first, "edge").filter("did > first.did")
+    return both.select("*", F.col("first.did").alias("src"), F.col("first.th").alias("src_th"), F.col("first.s").alias("src_s"))
+
+
+def _digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """src, src_th, src_s, size of ``spans`` with ``digest``, that of the ``size`` words at these coordinates."""
+    wanted = spans.select("src", "src_th", "src_s", "size").distinct().groupBy(F.col("src").alias("did"), F.col("src_th").alias("th")).agg(F.collect_list(F.struct("src_s", "size")).alias("spans"))
+    both = docs.select("did", "th", "text").join(wanted.hint("shuffle_hash"), ["did", "th"]).dropDuplicates(["did", "th"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.pieces(batches):
+            data, off = A.texts(batch.column("text"))
+            out = []
+            for i, (did, th, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("did", "th", "spans")), strict=True)):
+                words = data[off[i] : off[i + 1]].tobytes().split()
+                out += [(did, th, x["src_s"], x["size"], _digest(words, x["src_s"], x["src_s"] + x["size"])) for x in spans]
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["src", "src_th", "src_s", "size", "digest"])
+
+    return both.mapInArrow(read, "src long, src_th long, src_s int, size int, digest binary")
+
+
+def _digest(words: list[bytes], s: int, e: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[s:e]), digest_size=16).digest()
+
+
 def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
-    """did, th, s, e, src, src_s: word ranges of documents (``keyed``) whose windows all start in an earlier document.
-    src is null where a whole run of windows was settled by its coordinates."""
+    """did, th, s, e, src, src_th, src_s, size, digest: word ranges of documents (``keyed``), each an occurrence of a path
+    (or a part of one), with its place in an earlier document and the digest of the words there."""
     runs = keep(S.repeated_runs(docs, word_symbols, width, 6, True), "word_runs")
-    settled = runs.filter("settled").select("did", "th", "s", (F.col("s") + F.col("n") + F.lit(width - 1)).alias("e"))
-    candidates = runs.filter("not settled")
-    shards = max(1, math.ceil(candidates.count() / S.SHARD))
+    settled, candidates = runs.filter("settled"), runs.filter("not settled")
+    sources = settled.select("src", "src_th", "src_s", "n").distinct()
+    sources = sources.select(F.col("src").alias("did"), F.col("src_th").alias("th"), F.col("src_s").alias("s"), "n", F.xxhash64("src", "src_th", "src_s").alias("a"), F.lit(False).alias("hot"), F.lit(-1).alias("sub"))
+    wanted = candidates.select("did", "th", "s", "n", "a", "hot", "sub").unionByName(sources)
+    shards = max(1, math.ceil(wanted.count() / S.SHARD))
 
     def cut(column: pa.Array, row: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[bytes]:
         sym, off = word_symbols(column)
@@ -99,22 +152,28 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
         whole = sym.tobytes()
         return [whole[8 * x : 8 * y] for x, y in zip(at.tolist(), (at + n + width - 1).tolist(), strict=True)]
 
-    bodies = S.contents(docs, candidates, cut).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
-    pieces = keep(bodies.groupBy("shard").applyInArrow(lambda t: _edges(t, width), PIECE), "pieces")
+    # The runs of a split minimiser go to as many shards as it has parts; their edges meet in ``_sourced``.
+    shard = F.pmod(F.xxhash64("a", F.when(F.col("hot"), F.col("sub")).otherwise(0)), F.lit(shards))
+    pieces = keep(S.contents(docs, wanted, cut).withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: _shard(t, width), PIECE), "pieces")
+    found = pieces.filter("src is not null").drop("edge").unionByName(_sourced(pieces.filter("edge is not null")).drop("first", "edge"))
     keys = ["src", "src_th", "src_s", "n"]
-    placed = pieces.join(compact(pieces), keys).withColumn("shift", F.col("s") - F.col("src_s"))
+    occurs = settled.select("did", "th", "s", *keys).unionByName(found.filter("did is not null").select("did", "th", "s", *keys))
+    placed = occurs.join(compact(found), keys).withColumn("shift", F.col("s") - F.col("src_s"))
     spans = placed.groupBy("did", "th", "src", "src_th", "path", "shift").agg(F.min("s").alias("s"), F.max(F.col("s") + F.col("n")).alias("last"), F.collect_list(F.struct("s", "n")).alias("parts"))
-    # A span is verified if its parts cover it without a gap; else each part stands for itself.
+    # A path's occurrence is one span if its parts cover it without a gap; else each part stands for itself.
     covered = F.aggregate(F.sort_array("parts"), F.struct(F.col("s").alias("to"), F.lit(True).alias("ok")), lambda x, p: F.struct(F.greatest(x["to"], p["s"] + p["n"]).alias("to"), (x["ok"] & (p["s"] <= x["to"])).alias("ok")))["ok"]
     spans = spans.withColumn("each", F.explode(F.when(covered, F.array(F.struct("s", (F.col("last") - F.col("s")).alias("n")))).otherwise(F.col("parts"))))
-    spans = spans.select("did", "th", F.col("each.s").alias("s"), (F.col("each.s") + F.col("each.n") + F.lit(width - 1)).alias("e"), "src", (F.col("each.s") - F.col("shift")).alias("src_s"))
-    return settled.withColumns({"src": F.lit(None).cast("long"), "src_s": F.lit(None).cast("int")}).unionByName(spans)
+    spans = spans.select("did", "th", F.col("each.s").alias("s"), "src", "src_th", (F.col("each.s") - F.col("shift")).alias("src_s"), (F.col("each.n") + F.lit(width - 1)).alias("size"))
+    spans = keep(spans, "spans")
+    return spans.join(_digests(docs, spans), ["src", "src_th", "src_s", "size"]).withColumn("e", F.col("s") + F.col("size"))
 
 
 def dedup_windows(docs: DataFrame, width: int = 13, into: str = "dedup") -> DataFrame:
     """All columns of ``docs``, text with the kept words joined by one space (unchanged where no word goes), and
     ``into``, which replaces a column of its name: n_words, n_removed, kept_sha256 (of the kept words joined by one
-    space) and spans, the removed word ranges."""
+    space) and spans, the removed word ranges.
+
+    Of the spans of ``repeated_spans`` those go whose words have the digest of the words in the source."""
     keyed = S.keyed(docs)
     order = [c for c in docs.columns if c != into]
     rest = F.struct(*(c for c in order if c != "text")).alias("row")
@@ -128,8 +187,9 @@ def dedup_windows(docs: DataFrame, width: int = 13, into: str = "dedup") -> Data
             texts, details = [], []
             data, off = A.texts(batch.column("text"))
             for i, marks in enumerate(batch.column("marks")):
-                body, spans = data[off[i] : off[i + 1]].tobytes(), S.merged(marks)
+                body = data[off[i] : off[i + 1]].tobytes()
                 words = body.split()
+                spans = S.merged([(x["s"], x["e"]) for x in marks.as_py() or () if _digest(words, x["s"], x["e"]) == x["digest"]])
                 kept, at = [], 0
                 for s, e in spans:
                     kept += words[at:s]
@@ -140,6 +200,6 @@ def dedup_windows(docs: DataFrame, width: int = 13, into: str = "dedup") -> Data
                 details.append({"n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(left).hexdigest(), "spans": [{"s": s, "e": e} for s, e in spans]})
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(details, detail)], names=["row", "text", "dedup"])
 
-    marked = S.with_marks(whole, repeated_spans(keyed, width).select("did", "th", "s", "e"))
+    marked = S.with_marks(whole, repeated_spans(keyed, width), "digest")
     out = marked.select("row", "text", "marks").mapInArrow(remove, schema)
     return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in order), F.col("dedup").alias(into))

@@ -178,7 +178,7 @@ def _merge(table: pa.Table, width: int) -> pa.Table:
 
 def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     """did, th, s, e: byte ranges of documents (``keyed``) whose strings of ``width`` bytes all start earlier elsewhere."""
-    runs = keep(S.repeated_runs(docs, A.texts, width, 32, False), "runs")
+    runs = keep(S.repeated_runs(docs, A.texts, width, 32, False).drop("src", "src_th", "src_s"), "runs")
     settled = runs.filter("settled").select("did", "th", "s", (F.col("s") + F.col("n") + F.lit(width - 1)).alias("e"))
     candidates = runs.filter("not settled")
     shards = max(1, math.ceil(candidates.count() / S.SHARD))
@@ -208,7 +208,7 @@ def dedup_substrings(docs: DataFrame, width: int = 100) -> DataFrame:
             rows = []
             data, off = A.texts(batch.column("text"))
             for i, marks in enumerate(batch.column("marks")):
-                body, spans = data[off[i] : off[i + 1]].tobytes(), S.merged(marks)
+                body, spans = data[off[i] : off[i + 1]].tobytes(), S.merged([(x["s"], x["e"]) for x in marks.as_py() or ()])
                 kept, at = [], 0
                 for s, e in spans:
                     kept.append(body[at:s])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-RUNS = "did long, th long, s int, n int, a long, seg long, settled boolean"
+RUNS = "did long, th long, s int, n int, a long, seg long, settled boolean, src long, src_th long, src_s int"
 #: Rows of one minimiser that one task of the compare step may get; the rest go to further tasks and are merged after.
 SPLIT = 8192
 #: Candidate runs in a task of the compare step, on average.
@@ -74,13 +74,15 @@ def _scan(symbols: Callable, width: int, k: int, by_document: bool) -> Callable:
             if not by_document:
                 settled |= (th != th[head]) | (s != s[head])
             a = np.where(settled, A.join_hash(did.astype(A.U) + th.astype(A.U), s.astype(A.U)), a)  # spread evenly
-            yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(settled)], names=["did", "th", "s", "n", "a", "seg", "settled"])
+            source = [pa.array(x[head], mask=~settled) for x in (did, th, s.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(settled), *source], names=["did", "th", "s", "n", "a", "seg", "settled", "src", "src_th", "src_s"])
 
     return scan
 
 
 def repeated_runs(docs: DataFrame, symbols: Callable, width: int, k: int, by_document: bool) -> DataFrame:
-    """Runs with a shared minimiser: settled (all their windows start earlier elsewhere) or candidates.
+    """Runs with a shared minimiser: settled (all their windows start earlier elsewhere: from ``src_s`` on in the
+    document ``src``, ``src_th``) or candidates.
 
     ``symbols`` gives an Arrow column's symbols and row starts. ``by_document``: only a smaller doc_id counts as
     earlier; else an earlier start in the same document does too. Runs of equal content within a task's batch are
@@ -94,8 +96,9 @@ def repeated_runs(docs: DataFrame, symbols: Callable, width: int, k: int, by_doc
     runs = runs.withColumn("first", F.min(F.struct("did", "th", "s")).over(same)).withColumn("nth", F.row_number().over(in_order)).withColumn("before", F.lag(F.struct("seg", "did", "th", "s")).over(in_order))
     runs = runs.filter("before is null or before != struct(seg, did, th, s)")  # the runs of a document that repeats, once
     later = F.col("did") > F.col("first.did") if by_document else F.struct("did", "th", "s") != F.col("first")
-    runs = runs.withColumn("settled", F.col("settled") | later).filter("settled or lo != hi")
-    return runs.select("did", "th", "s", "n", "a", "settled", (F.col("c") > SPLIT).alias("hot"), F.floor((F.col("nth") - 1) / SPLIT).cast("int").alias("sub"))
+    source = [F.coalesce(x, F.when(later, F.col(f"first.{y}"))).alias(x) for x, y in (("src", "did"), ("src_th", "th"), ("src_s", "s"))]
+    runs = runs.select("*", (F.col("settled") | later).alias("now")).filter("now or lo != hi")
+    return runs.select("did", "th", "s", "n", "a", F.col("now").alias("settled"), *source, (F.col("c") > SPLIT).alias("hot"), F.floor((F.col("nth") - 1) / SPLIT).cast("int").alias("sub"))
 
 
 def contents(docs: DataFrame, candidates: DataFrame, cut: Callable) -> DataFrame:
@@ -115,21 +118,18 @@ def contents(docs: DataFrame, candidates: DataFrame, cut: Callable) -> DataFrame
     return both.mapInArrow(fetch, "did long, th long, s int, n int, a long, hot boolean, sub int, body binary")
 
 
-def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The documents with ``marks``, an array of the marked [s, e) ranges (null: none)."""
-    by_doc = marks.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+def with_marks(docs: DataFrame, marks: DataFrame, *more: str) -> DataFrame:
+    """The documents with ``marks``, an array of the marked [s, e) ranges and their columns ``more`` (null: none)."""
+    by_doc = marks.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e", *more)).alias("marks"))
     return docs.join(by_doc.hint("shuffle_hash"), ["did", "th"], "left")
 
 
-def merged(marks: pa.Scalar) -> list[tuple[int, int]]:
+def merged(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Marked ranges as the fewest disjoint, separate ones, ascending."""
-    if not marks.is_valid or not len(marks):
-        return []
-    flat = marks.values
-    s, e = flat.field("s").to_numpy(), flat.field("e").to_numpy()
-    order = np.argsort(s, kind="stable")
-    s, e = s[order], np.maximum.accumulate(e[order])
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] > e[:-1]
-    first = np.flatnonzero(new)
-    return list(zip(s[first].tolist(), e[np.append(first[1:] - 1, len(s) - 1)].tolist(), strict=True))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(marks):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out

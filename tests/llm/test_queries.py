@@ -90,6 +90,26 @@ def test_hot_minimisers(spark, split, monkeypatch):
     assert found == brute.windows(rows, 13)
 
 
+def test_paths_decide_which_words_go(spark, monkeypatch):
+    """A long passage is one verified span from its source; without paths, or from other places, nothing goes."""
+    from evloom.llm import substring, superkmers
+
+    rng = np.random.default_rng(3)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = own(300)
+    rows = [(1, f"{own(20)} {passage}"), (2, f"{own(7)} {passage} {own(9)}"), (3, f"{passage} {own(30)}"), (4, own(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = {(r["did"], r["s"], r["e"], r["src"] < r["did"]) for r in substring.repeated_spans(superkmers.keyed(df)).collect()}
+    assert spans == {(2, 7, 307, True), (3, 0, 300, True)}
+    real, removed = substring.compact, lambda: {r["doc_id"]: r["dedup"]["n_removed"] for r in substring.dedup_windows(df).collect()}
+    assert removed() == {1: 0, 2: 300, 3: 300, 4: 0}
+    monkeypatch.setattr(substring, "compact", lambda pieces: real(pieces).filter("false"))
+    assert set(removed().values()) == {0}
+    monkeypatch.setattr(substring, "compact", real)
+    monkeypatch.setattr(substring, "_digest", lambda words, s, e: str(s).encode())
+    assert set(removed().values()) == {0}
+
+
 def test_repeated_rows_cost_no_squares(spark):
     """A document that is there five hundred times has each of its runs compared once."""
     from evloom.llm import arrays as A
