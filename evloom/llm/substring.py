@@ -4,9 +4,9 @@ Each word goes that is covered by a window of ``width`` words whose word sequenc
 doc_id. Windows are judged on the input.
 
 A window is an edge of the graph from its first ``width - 1`` words to its last. Windows that share a minimiser come in
-runs (``superkmers``). A run of the content of an earlier document's run is a piece of the graph named by the place
-there; the other runs of a shared minimiser are compared edge by edge in shards, which compact neighbouring repeated
-edges of one earliest source into pieces. Spark joins then glue pieces, at nodes with one way in and one way out, into
+runs (``superkmers``). A run of the content of an earlier document's run is named by the place there, and neighbouring
+runs of neighbouring places are one piece of the graph; the other runs of a shared minimiser are compared edge by edge
+in shards, which compact neighbouring repeated edges of one earliest source into pieces. Spark joins then glue pieces, at nodes with one way in and one way out, into
 long paths. A path's occurrences are spans, and each span is verified: the digest of its words must be that of the words
 at its coordinates in the source. The words of verified spans go, and no others.
 
@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import superkmers as S
-from .scratch import keep
+from .scratch import drop, keep
 
 #: A piece: where it occurs (null in rows that only describe a source's piece), its windows, its first and last node, the
 #: word that leads into the last and the word that leads out of the first, its source (null in rows of single edges of
@@ -44,33 +45,37 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(columns: dict[str, np.ndarray]) -> pa.Table:
     n = len(columns["n"])
-    return pa.table([pa.array(columns[f.name].astype(f.type.to_pandas_dtype())) if f.name in columns else pa.nulls(n, f.type) for f in _PIECE], schema=_PIECE)
+    return pa.table([pa.array(columns[f.name].astype(f.type.to_pandas_dtype(), copy=False)) if f.name in columns else pa.nulls(n, f.type) for f in _PIECE], schema=_PIECE)
 
 
 def _ends(sym: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> dict[str, np.ndarray]:
     """Nodes and neighbouring words of pieces of ``n`` windows that start at the symbols ``at``."""
     node = A.grams(sym, width - 1)
-    return {"n": n, "head": node[at].view(np.int64), "tail": node[at + n].view(np.int64), "last": sym[at + n - 1].view(np.int64), "next": sym[at + width - 1].view(np.int64)}
+    return {"head": node[at], "tail": node[at + n], "last": sym[at + n - 1], "next": sym[at + width - 1]}
 
 
 def _shard(table: pa.Table, width: int) -> pa.Table:
-    """The pieces of one shard: of sources' runs (``sub`` -1) their ends, of a split minimiser's runs their edges, of the
+    """The pieces of one shard: of sources' pieces (``sub`` -1) their ends, of a split minimiser's runs their edges, of the
     others the repeated edges, compacted, a row for each occurrence with its earliest source."""
-    data, off = A.texts(table.column("body").combine_chunks())
+    short = pc.less(table.column("sub"), 0)
+    ends = table.filter(short)
+    data = A.texts(ends.column("body"))[0]
+    four = dict(zip(("head", "tail", "last", "next"), (data.view(A.U) if len(data) else np.zeros(0, A.U)).reshape(-1, 4).T, strict=True))
+    out = [_rows({**{c: A.longs(ends.column(x)) for c, x in (("src", "did"), ("src_th", "th"), ("src_s", "s"), ("n", "n"))}, **four})]
+    table = table.filter(pc.invert(short))
+    data, off = A.texts(table.column("body"))
     sym, off = data.view(A.U) if len(data) else np.zeros(0, A.U), off[:-1] // 8
-    did, th, s, n, a, sub = (A.longs(table.column(c)) for c in ("did", "th", "s", "n", "a", "sub"))
+    did, th, s, n, a = (A.longs(table.column(c)) for c in ("did", "th", "s", "n", "a"))
     hot = table.column("hot").to_numpy()
     if not len(n):
-        return _PIECE.empty_table()
+        return out[0]
     edges = A.grams(sym, width)
-    i = np.flatnonzero(sub < 0)
-    out = [_rows({"src": did[i], "src_th": th[i], "src_s": s[i], **_ends(sym, off[i], n[i], width)})]
     i = np.flatnonzero(hot)
     run = np.repeat(i, n[i])
     t = np.arange(len(run)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
     at = off[run] + t
-    out.append(_rows({"did": did[run], "th": th[run], "s": s[run] + t, "edge": edges[at].view(np.int64), **_ends(sym, at, np.ones(len(at), np.int64), width)}))
-    i = np.flatnonzero(~hot & (sub >= 0))
+    out.append(_rows({"did": did[run], "th": th[run], "s": s[run] + t, "n": np.ones(len(at), np.int64), "edge": edges[at], **_ends(sym, at, np.ones(len(at), np.int64), width)}))
+    i = np.flatnonzero(~hot)
     run = np.repeat(i, n[i])
     t = np.arange(len(run)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
     edge, bucket = edges[off[run] + t], a[run]
@@ -89,7 +94,7 @@ def _shard(table: pa.Table, width: int) -> pa.Table:
     first = np.flatnonzero(new)
     m = np.diff(np.append(first, len(r)))
     r, t = r[first], t[first]
-    out.append(_rows({"did": did[r], "th": th[r], "s": s[r] + t, "src": src[first], "src_th": src_th[first], "src_s": src_s[first], **_ends(sym, off[r] + t, m, width)}))
+    out.append(_rows({"did": did[r], "th": th[r], "s": s[r] + t, "src": src[first], "src_th": src_th[first], "src_s": src_s[first], "n": m, **_ends(sym, off[r] + t, m, width)}))
     return pa.concat_tables(out)
 
 
@@ -107,6 +112,16 @@ def compact(pieces: DataFrame) -> DataFrame:
     return each.select("src", "src_th", "src_s", "n", "path")
 
 
+def _copies(settled: DataFrame) -> DataFrame:
+    """Settled runs, neighbours with neighbouring places in one source as one."""
+    one = Window.partitionBy("did", "th", "src", "src_th", "shift").orderBy("s")
+    reached = F.max(F.col("s") + F.col("n")).over(one.rowsBetween(Window.unboundedPreceding, -1))
+    runs = settled.withColumn("shift", F.col("s") - F.col("src_s")).withColumn("new", F.when(F.col("s") <= reached, 0).otherwise(1))
+    runs = runs.withColumn("island", F.sum("new").over(one)).groupBy("did", "th", "src", "src_th", "shift", "island")
+    runs = runs.agg(F.min("s").alias("s"), F.max(F.col("s") + F.col("n")).alias("to"))
+    return runs.select("did", "th", "s", (F.col("to") - F.col("s")).alias("n"), "src", "src_th", (F.col("s") - F.col("shift")).alias("src_s"))
+
+
 def _sourced(edges: DataFrame) -> DataFrame:
     """Single edges of split minimisers with their earliest source; those that have none go."""
     first = edges.groupBy("edge").agg(F.min(F.struct("did", "th", "s")).alias("first"))
@@ -140,7 +155,7 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     """did, th, s, e, src, src_th, src_s, size, digest: word ranges of documents (``keyed``), each an occurrence of a path
     (or a part of one), with its place in an earlier document and the digest of the words there."""
     runs = keep(S.repeated_runs(docs, word_symbols, width, 6, True), "word_runs")
-    settled, candidates = runs.filter("settled"), runs.filter("not settled")
+    settled, candidates = keep(_copies(runs.filter("settled")), "copies"), runs.filter("not settled")
     sources = settled.select("src", "src_th", "src_s", "n").distinct()
     sources = sources.select(F.col("src").alias("did"), F.col("src_th").alias("th"), F.col("src_s").alias("s"), "n", F.xxhash64("src", "src_th", "src_s").alias("a"), F.lit(False).alias("hot"), F.lit(-1).alias("sub"))
     wanted = candidates.select("did", "th", "s", "n", "a", "hot", "sub").unionByName(sources)
@@ -152,9 +167,13 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
         whole = sym.tobytes()
         return [whole[8 * x : 8 * y] for x, y in zip(at.tolist(), (at + n + width - 1).tolist(), strict=True)]
 
+    def ends(column: pa.Array, row: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[bytes]:
+        sym, off = word_symbols(column)
+        return [x.tobytes() for x in np.stack(list(_ends(sym, off[row] + s, n, width).values()), axis=1)] if len(row) else []
+
     # The runs of a split minimiser go to as many shards as it has parts; their edges meet in ``_sourced``.
     shard = F.pmod(F.xxhash64("a", F.when(F.col("hot"), F.col("sub")).otherwise(0)), F.lit(shards))
-    pieces = keep(S.contents(docs, wanted, cut).withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: _shard(t, width), PIECE), "pieces")
+    pieces = keep(S.contents(docs, wanted, cut, ends).withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: _shard(t, width), PIECE), "pieces")
     found = pieces.filter("src is not null").drop("edge").unionByName(_sourced(pieces.filter("edge is not null")).drop("first", "edge"))
     keys = ["src", "src_th", "src_s", "n"]
     occurs = settled.select("did", "th", "s", *keys).unionByName(found.filter("did is not null").select("did", "th", "s", *keys))
@@ -165,6 +184,8 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     spans = spans.withColumn("each", F.explode(F.when(covered, F.array(F.struct("s", (F.col("last") - F.col("s")).alias("n")))).otherwise(F.col("parts"))))
     spans = spans.select("did", "th", F.col("each.s").alias("s"), "src", "src_th", (F.col("each.s") - F.col("shift")).alias("src_s"), (F.col("each.n") + F.lit(width - 1)).alias("size"))
     spans = keep(spans, "spans")
+    for done in (runs, settled, pieces):
+        drop(done)
     return spans.join(_digests(docs, spans), ["src", "src_th", "src_s", "size"]).withColumn("e", F.col("s") + F.col("size"))
 
 

@@ -101,8 +101,9 @@ def repeated_runs(docs: DataFrame, symbols: Callable, width: int, k: int, by_doc
     return runs.select("did", "th", "s", "n", "a", F.col("now").alias("settled"), *source, (F.col("c") > SPLIT).alias("hot"), F.floor((F.col("nth") - 1) / SPLIT).cast("int").alias("sub"))
 
 
-def contents(docs: DataFrame, candidates: DataFrame, cut: Callable) -> DataFrame:
-    """Candidates with their content: did, th, s, n, a, hot, sub, body. ``cut`` gives one row's pieces as bytes."""
+def contents(docs: DataFrame, candidates: DataFrame, cut: Callable, ends: Callable | None = None) -> DataFrame:
+    """Candidates with their content: did, th, s, n, a, hot, sub, body. ``cut`` gives one row's pieces as bytes, ``ends``
+    what is wanted of those whose ``sub`` is -1."""
     wanted = candidates.groupBy("did", "th").agg(F.collect_list(F.struct("s", "n", "a", "hot", "sub")).alias("runs"))
     both = docs.select("did", "th", "text").join(wanted.hint("shuffle_hash"), ["did", "th"]).dropDuplicates(["did", "th"])
 
@@ -112,7 +113,11 @@ def contents(docs: DataFrame, candidates: DataFrame, cut: Callable) -> DataFrame
             flat, at = runs.flatten(), np.append(0, np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False)))
             cols = {k: flat.field(k) for k in ("s", "n", "a", "hot", "sub")}
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            body = cut(batch.column("text"), row, cols["s"].to_numpy(), cols["n"].to_numpy())
+            body = cut(batch.column("text"), row, cols["s"].to_numpy(), cols["n"].to_numpy()) if ends is None else np.empty(len(row), object)
+            if ends is not None:
+                short = cols["sub"].to_numpy() < 0
+                for get, those in ((cut, ~short), (ends, short)):
+                    body[those] = get(batch.column("text"), row[those], cols["s"].to_numpy()[those], cols["n"].to_numpy()[those])
             yield pa.RecordBatch.from_arrays([pa.array(A.longs(batch.column("did"))[row]), pa.array(A.longs(batch.column("th"))[row]), cols["s"], cols["n"], cols["a"], cols["hot"], cols["sub"], pa.array(body, pa.binary())], names=["did", "th", "s", "n", "a", "hot", "sub", "body"])
 
     return both.mapInArrow(fetch, "did long, th long, s int, n int, a long, hot boolean, sub int, body binary")
