@@ -55,8 +55,9 @@ def _ends(sym: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> dict[st
 
 
 def _shard(table: pa.Table, width: int) -> pa.Table:
-    """The pieces of one shard: of sources' pieces (``sub`` -1) their ends, of a split minimiser's runs their edges, of the
-    others the repeated edges, compacted, a row for each occurrence with its earliest source."""
+    """The pieces of one shard: of sources' pieces (``sub`` -1) their ends; of the others the repeated edges, compacted, a
+    row for each occurrence with its earliest source here. Edges of a split minimiser that have none here may have one
+    in another shard and go on singly."""
     short = pc.less(table.column("sub"), 0)
     ends = table.filter(short)
     data = A.texts(ends.column("body"))[0]
@@ -70,14 +71,8 @@ def _shard(table: pa.Table, width: int) -> pa.Table:
     if not len(n):
         return out[0]
     edges = A.grams(sym, width)
-    i = np.flatnonzero(hot)
-    run = np.repeat(i, n[i])
-    t = np.arange(len(run)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
-    at = off[run] + t
-    out.append(_rows({"did": did[run], "th": th[run], "s": s[run] + t, "n": np.ones(len(at), np.int64), "edge": edges[at], **_ends(sym, at, np.ones(len(at), np.int64), width)}))
-    i = np.flatnonzero(~hot)
-    run = np.repeat(i, n[i])
-    t = np.arange(len(run)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+    run = np.repeat(np.arange(len(n)), n)
+    t = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     edge, bucket = edges[off[run] + t], a[run]
     order = np.lexsort((s[run] + t, th[run], did[run], edge, bucket))
     e, b, r, t = edge[order], bucket[order], run[order], t[order]
@@ -86,6 +81,8 @@ def _shard(table: pa.Table, width: int) -> pa.Table:
     head = np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
     src, src_th, src_s = did[r[head]], th[r[head]], s[r[head]] + t[head]
     later = did[r] > src
+    i = np.flatnonzero(~later & hot[r])
+    out.append(_rows({"did": did[r[i]], "th": th[r[i]], "s": s[r[i]] + t[i], "n": np.ones(len(i), np.int64), "edge": e[i], **_ends(sym, off[r[i]] + t[i], np.ones(len(i), np.int64), width)}))
     order = np.lexsort((t, r))
     order = order[later[order]]
     r, t, src, src_th, src_s = (x[order] for x in (r, t, src, src_th, src_s))
@@ -123,7 +120,8 @@ def _copies(settled: DataFrame) -> DataFrame:
 
 
 def _sourced(edges: DataFrame) -> DataFrame:
-    """Single edges of split minimisers with their earliest source; those that have none go."""
+    """Single edges of split minimisers, those that are first in a shard, with their earliest source; those that have none
+    go."""
     first = edges.groupBy("edge").agg(F.min(F.struct("did", "th", "s")).alias("first"))
     both = edges.drop("src", "src_th", "src_s").join(first, "edge").filter("did > first.did")
     return both.select("*", F.col("first.did").alias("src"), F.col("first.th").alias("src_th"), F.col("first.s").alias("src_s"))
@@ -171,7 +169,7 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
         sym, off = word_symbols(column)
         return [x.tobytes() for x in np.stack(list(_ends(sym, off[row] + s, n, width).values()), axis=1)] if len(row) else []
 
-    # The runs of a split minimiser go to as many shards as it has parts; their edges meet in ``_sourced``.
+    # The runs of a split minimiser go to as many shards as it has parts; each one's first edges meet in ``_sourced``.
     shard = F.pmod(F.xxhash64("a", F.when(F.col("hot"), F.col("sub")).otherwise(0)), F.lit(shards))
     pieces = keep(S.contents(docs, wanted, cut, ends).withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: _shard(t, width), PIECE), "pieces")
     found = pieces.filter("src is not null").drop("edge").unionByName(_sourced(pieces.filter("edge is not null")).drop("first", "edge"))
