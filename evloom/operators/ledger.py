@@ -36,10 +36,15 @@ def _block(size: int):
     return F.floor((F.col("sequence") - 1) / size).cast("long")
 
 
+def _digests(rows: DataFrame, block: int) -> DataFrame:
+    """block, digest of the contents of each block of rows (sequence, content_hash)."""
+    ordered = F.sort_array(F.collect_list(F.struct("sequence", "content_hash")))
+    return rows.groupBy(_block(block).alias("block")).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["content_hash"]), ""), 256).alias("digest"))
+
+
 def anchors(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """block, anchor of each block of rows (sequence, content_hash): a fold over one digest a block."""
-    ordered = F.sort_array(F.collect_list(F.struct("sequence", "content_hash")))
-    digests = rows.groupBy(_block(block).alias("block")).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["content_hash"]), ""), 256).alias("digest"))
+    digests = _digests(rows, block)
 
     def fold(table: pa.Table) -> pa.Table:
         table, at, out = table.sort_by("block"), "", []
@@ -72,16 +77,19 @@ def verify(commits: DataFrame, block: int = BLOCK) -> DataFrame:
     """sequence, error of each commit (the batch's columns, previous_hash, commit_hash) that breaks the chain. Contents are
     hashed again; the commit before is found by a join on its number, so nothing is sorted as a whole.
 
+    A block's anchor is held against the anchor and the contents of the block before, unless a commit there fails by its
+    own hash or is missing: then that one is the error, and the anchor can't be told from what is left of the contents.
     A status that isn't Committed, or an id that an earlier commit had, is an error too, where the columns are there."""
-    rows = content_hashed(commits)
+    rows = content_hashed(commits).withColumn("block", _block(block))
     before = rows.select((F.col("sequence") + 1).alias("sequence"), F.col("commit_hash").alias("hash_before"))
-    rows = rows.withColumn("block", _block(block)).join(before, "sequence", "left").join(anchors(rows.select("sequence", "content_hash"), block), "block", "left")
     first = (F.col("sequence") - 1) % block == 0
-    expected = F.when(first, F.col("anchor")).otherwise(F.col("hash_before"))
-    error = (
-        F.when((F.col("sequence") != 1) & F.col("hash_before").isNull(), "sequence").when(~F.col("previous_hash").eqNullSafe(expected), "previous_hash")
-        .when(F.col("commit_hash") != F.sha2(F.concat("previous_hash", "content_hash"), 256), "commit_hash")
-    )
+    sound = F.col("commit_hash").eqNullSafe(F.sha2(F.concat("previous_hash", "content_hash"), 256))
+    whole = rows.groupBy("block").agg((F.bool_and(sound) & (F.countDistinct("sequence") == block)).alias("whole"), F.max(F.when(first, F.col("previous_hash"))).alias("own"))
+    after = _digests(rows, block).join(whole, "block").select((F.col("block") + 1).alias("block"), "whole", F.sha2(F.concat("own", "digest"), 256).alias("anchor"))
+    rows = rows.join(before, "sequence", "left").join(after, "block", "left")
+    wrong = F.when(~first, ~F.col("previous_hash").eqNullSafe(F.col("hash_before"))).when(F.col("block") == 0, ~F.col("previous_hash").eqNullSafe(F.lit("")))
+    wrong = wrong.otherwise(F.col("whole") & ~F.col("previous_hash").eqNullSafe(F.col("anchor")))
+    error = F.when((F.col("sequence") != 1) & F.col("hash_before").isNull(), "sequence").when(wrong, "previous_hash").when(~sound, "commit_hash")
     if "status" in commits.columns:
         error = error.when(F.col("status") != "Committed", "status")
     if "idempotency_key" in commits.columns:
