@@ -47,8 +47,9 @@ def has_node(m):
 
 @query("SELECT id, coalesce(bool_or(e IS NOT NULL), false) AS has FROM (SELECT 'in_region:3' AS id UNION ALL SELECT 'c_nation:17' UNION ALL SELECT 'none') q LEFT JOIN (SELECT id AS e FROM edges) x ON id = e GROUP BY id")
 def has_edge(m):
-    wanted = m.spark.createDataFrame([("in_region:3",), ("c_nation:17",), ("none",)], "id string")
-    return wanted.join(m.edges.select("id").distinct().withColumn("has", F.lit(True)), "id", "left").fillna(False, ["has"])
+    ids = ["in_region:3", "c_nation:17", "none"]
+    wanted = m.spark.createDataFrame([(x,) for x in ids], "id string")
+    return wanted.join(m.edges.filter(F.col("id").isin(ids)).select("id").distinct().withColumn("has", F.lit(True)), "id", "left").fillna(False, ["has"])
 
 
 @query("SELECT id FROM nodes WHERE type = 'customer' AND alive")
