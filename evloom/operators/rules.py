@@ -21,7 +21,7 @@ def anomaly_cascade(log: DataFrame, depth: DataFrame, max_events: int = 50, max_
 
 def anomaly_topology(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """rule, id, degree, kind of live nodes whose degree in one edge type is outside [low, high]."""
-    ends = edges.select(F.col("src").alias("id"), F.col("type").alias("edge")).unionByName(edges.select(F.col("dst").alias("id"), F.col("type").alias("edge")))
+    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), F.col("type").alias("edge"))
     degree = ends.groupBy("id", "edge").agg(F.count(F.lit(1)).alias("degree"))
     rows = nodes.filter("alive").join(F.broadcast(rules), "type").join(degree, ["id", "edge"], "left").fillna(0, ["degree"])
     kind = F.when((F.col("degree") == 0) & (F.col("low") > 0), "orphan").otherwise("degree")

@@ -163,7 +163,7 @@ TOPOLOGY = [("few suppliers", "part", "supplied_by", 1, 6), ("busy", "customer",
     LEFT JOIN edges e ON e.type = t.edge AND (e.src = n.id OR e.dst = n.id) WHERE n.alive GROUP BY t.rule, n.id, t.low, t.high) x WHERE degree < low OR degree > high""")
 def anomaly_topology(m):
     table = m.spark.createDataFrame(TOPOLOGY, "rule string, type string, edge string, low long, high long")
-    return rules.anomaly_topology(m.nodes, m.edges, table)
+    return rules.anomaly_topology(m.nodes, m.edges.filter(F.col("type").isin([r[2] for r in TOPOLOGY])), table)
 
 
 @query(f"{DIFFERENT} --- SELECT root, magnitude FROM (SELECT root, nodes * 10 + edges * 5 + properties AS magnitude FROM impact) x WHERE magnitude >= 12")
