@@ -38,7 +38,8 @@ def discover(signals: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A discovered resource becomes a node once, if its type is known and its names aren't too long; a deleted one goes
     if it is there; a dependency is an edge if both ends are there."""
-    here = nodes.select("id").distinct()
+    # Few resources may have most of the signals: those pass by a table of the ids, so none of them is sorted.
+    here = nodes.select("id").distinct().hint("shuffle_hash")
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     found = signals.filter((F.col("name") == "resource_discovered") & F.length("resource_id").between(1, 256) & F.col("resource_type").isin(DISCOVERABLE))
     found = found.groupBy(F.col("resource_id").alias("id")).agg(F.min(F.struct("seq", "resource_type")).alias("f")).join(here, "id", "left_anti")
