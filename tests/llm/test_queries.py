@@ -110,6 +110,20 @@ def test_paths_decide_which_words_go(spark, monkeypatch):
     assert set(removed().values()) == {0}
 
 
+def test_alternating_words_give_few_spans(spark):
+    """Two words by turns, in many documents: two spans at most for those that begin in the same 13 words, and all words go."""
+    from evloom.llm import substring, superkmers
+
+    rng = np.random.default_rng(4)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = own(60)
+    rows = [(i, f"{own(i % 6)} {'left right ' * (100 + i)}{own(i % 4)} {passage if i % 3 == 0 else ''}{' of the in' * (i % 5 * 9)}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: tuple(r["dedup"])[:3] for r in substring.dedup_windows(df).collect()} == brute.windows(rows, 13)
+    spans = Counter(r["did"] for r in substring.repeated_spans(superkmers.keyed(df)).collect())
+    assert all(spans[i] <= 2 * len(t.split()) / 13 + 12 for i, t in rows)
+
+
 def test_repeated_rows_cost_no_squares(spark):
     """A document that is there five hundred times has each of its runs compared once."""
     from evloom.llm import arrays as A
