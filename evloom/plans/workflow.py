@@ -187,7 +187,10 @@ def anomaly_stable_id(m):
 
 
 def trail_records(m):
-    """Audit records made of the log: creations, deletions, reads, errors, unknown calls and repeats."""
+    """Audit records made of the log: creations, deletions, reads, errors, unknown calls and, of events that are there,
+    repeats: a later record with the id of an earlier one."""
+    log, event = m.log.select("seq", "user_id"), F.col("seq")
+    again = log.filter(event % 30 == 6).join(log.filter(event % 30 == 0).select((event + 6).alias("seq")), "seq", "left_semi")
     k = F.col("seq") % 6
     source = F.when(k == 4, "unknown.amazonaws.com").when(k == 5, "ec2.amazonaws.com").otherwise("s3.amazonaws.com")
     name = F.when(k == 0, "CreateBucket").when(k == 1, "DeleteBucket").when(k == 2, "ListBuckets").when(k == 3, "CreateBucket").when(k == 4, "CreateThing").otherwise("RunInstances")
@@ -196,7 +199,8 @@ def trail_records(m):
     answer = F.to_json(F.struct(F.struct(items.alias("items")).alias("instancesSet")))
     record = F.struct((F.col("seq") - F.when(F.col("seq") % 30 == 6, 6).otherwise(0)).cast("string").alias("eventID"), source.alias("eventSource"), name.alias("eventName"), F.lit("eu-1").alias("awsRegion"), F.when(k == 3, "AccessDenied").alias("errorCode"), F.when(k != 5, bucket).alias("requestParameters"), F.when(k == 5, answer).alias("responseElements"))
     nested = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.to_json(record), '\\\\"', '"'), '"\\{', "{"), '\\}"', "}")
-    return m.log.groupBy((F.col("seq") / 50).cast("long").alias("document")).agg(F.concat(F.lit('{"Records":['), F.array_join(F.collect_list(nested), ","), F.lit("]}")).alias("json"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", nested.alias("record")))), lambda r: r["record"])
+    return log.filter(event % 30 != 6).unionByName(again).groupBy((event / 50).cast("long").alias("document")).agg(F.concat(F.lit('{"Records":['), F.array_join(in_order, ","), F.lit("]}")).alias("json"))
 
 
 @query("""rec AS (SELECT DISTINCT seq - CASE WHEN seq % 30 = 6 THEN 6 ELSE 0 END AS id FROM log), one AS (SELECT r.id, r.id % 6 AS k, l.user_id FROM rec r JOIN log l ON l.seq = r.id)
@@ -205,8 +209,7 @@ def trail_records(m):
     UNION ALL SELECT CAST(id AS STRING), CASE k WHEN 2 THEN 'read_only' WHEN 3 THEN 'error' WHEN 4 THEN 'unrecognised' ELSE 'signal' END, CASE k WHEN 0 THEN 'discovered' WHEN 1 THEN 'deleted' END, CASE WHEN k IN (0, 1) THEN 'object_store' END, NULL FROM one WHERE k <> 5 AND k > 1
     UNION ALL SELECT CAST(id AS STRING), 'signal', CASE k WHEN 0 THEN 'discovered' ELSE 'deleted' END, 'object_store', 'b' || CAST(user_id AS STRING) FROM one WHERE k <= 1""")
 def src_cloudtrail(m):
-    rows = trail.records(trail_records(m))
-    # a repeated id carries the record of the event whose id it repeats, so which of the two stays is the same
+    rows = trail.records(trail_records(m), order="document")
     return trail.parse(rows).drop("target", "confidence")
 
 

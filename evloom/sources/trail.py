@@ -75,10 +75,13 @@ def mappings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MAPPINGS, "eventSource string, eventName string, signal string, resource_type string, path string, fallback string")
 
 
-def records(documents: DataFrame, column: str = "json") -> DataFrame:
-    """One row for each record of each document."""
+def records(documents: DataFrame, column: str = "json", order: str | None = None) -> DataFrame:
+    """One row for each record of each document, with ``at``: its place, by its document's (the column ``order``) and
+    then in the document."""
     parsed = F.from_json(column, f"Records array<struct<{RECORD.replace(' string', ':string')}>>")
-    return documents.select(F.inline(parsed.getField("Records")))
+    document = F.lit(None).cast("long") if order is None else F.col(order)
+    rows = documents.select(document.alias("document"), F.posexplode(parsed.getField("Records")).alias("position", "record"))
+    return rows.select(F.struct("document", "position").alias("at"), "record.*")
 
 
 def _paths(df: DataFrame, column: str) -> Column:
@@ -95,8 +98,10 @@ def parse(rows: DataFrame) -> DataFrame:
     """eventID, outcome (signal, error, read_only, unrecognised, incomplete), signal, resource_type, resource_id and, of a
     dependency, target and confidence.
 
-    A record counts once; errors are set aside first, then reads, then what no mapping names."""
-    rows = rows.dropDuplicates(["eventID"]).join(F.broadcast(mappings(rows.sparkSession)), ["eventSource", "eventName"], "left")
+    Of the records with one id the first (by ``at``) counts; errors are set aside first, then reads, then what no mapping
+    names."""
+    record = F.struct(*(c for c in rows.columns if c not in ("eventID", "at")))
+    rows = rows.groupBy("eventID").agg(F.min_by(record, "at").alias("record")).select("eventID", "record.*").join(F.broadcast(mappings(rows.sparkSession)), ["eventSource", "eventName"], "left")
     depends, other = F.coalesce(F.col("signal") == "dependency", F.lit(False)), _paths(rows, "fallback")
     found = F.when(depends, F.when(other.isNotNull(), _paths(rows, "path"))).otherwise(F.coalesce(_paths(rows, "path"), other))
     rows = rows.withColumn("target", F.when(depends, other)).withColumn("depends", depends)
